@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handed to the per-batch functions in slices of about so many bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _own_dir: dict[str, str] = {}
 
 
@@ -96,7 +96,7 @@ def map_texts(
             rows = batch.num_rows
             if not rows:
                 continue
-            step = max(1, int(rows * min(1.0, SLICE_BYTES / max(1, batch.nbytes))))
+            step = max(1, int(rows * min(1.0, SLICE_BYTES / max(1, batch.get_total_buffer_size()))))
             for at in range(0, rows, step):
                 part = batch.slice(at, step)
                 made = work(part.column(n_head).to_pylist())

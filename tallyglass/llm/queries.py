@@ -12,12 +12,14 @@ from .exact_dedup import exact_groups
 from .mixing import mix
 from .near_dedup import near_classes
 from .sql import SQL
+from .suffix_dedup import cut_repeats
 from .toxicity import toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     docs = lambda s, d: table(s, d, "documents")
     return {
+        "op1_suffix_dedup": lambda s, d: cut_repeats(docs(s, d)).drop("spans"),
         "op4_exact_dedup": lambda s, d: exact_groups(docs(s, d)),
         "op6_near_dedup": lambda s, d: near_classes(docs(s, d)),
         "op7_decontaminate": lambda s, d: decontaminate(docs(s, d), table(s, d, "benchmark")),
