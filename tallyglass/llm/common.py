@@ -60,7 +60,16 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tallyglass-{uuid.uuid4().hex}/{tag}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path.rpartition("/")[0])
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_at = path.rpartition("/")[0]
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again, and free their shuffle files."""
+    for table in tables:
+        _delete(table.sparkSession, table._staged_at)
+    release(tables[0].sparkSession)
 
 
 def release(spark: SparkSession) -> None:
