@@ -267,10 +267,11 @@ def repeated_windows(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, b
     again2 = own.filter("several").join(third.filter("n > 1").select("h", "g"), ["h", "g"]).select(*span)
     windows = third.select("one.doc_id", "one.tag", "one.lo", "one.hi", "one.far", "h", "one.before", "one.behind", (F.col("one.alone") & (F.col("n") == 1)).alias("alone"))
     merged = staged(windows.mapInArrow(_windows(block), f"{key}, p int, h bigint, w bigint, alone boolean"), "windows")
-    equal = merged.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "w")
+    # Written first: Spark can split a hot name only where both sides of the join come straight from a shuffle.
+    equal = staged(merged.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "w"), "equal")
     found = merged.filter("alone").join(equal, ["h", "w"]).select("doc_id", "tag", F.col("p").alias("lo"), F.col("p").alias("hi"))
     out = staged(whole.unionByName(again).unionByName(whole2).unionByName(again2).unionByName(found), "repeated")
-    discard(shared, second, near, third, merged)
+    discard(shared, second, near, third, merged, equal)
     return out
 
 
