@@ -28,6 +28,8 @@ COORDINATES = 128
 BAND = 5
 #: Buckets of up to so many signatures are compared pair by pair; larger ones by leaders.
 SMALL = 16
+#: Large buckets that stay mixed are split so often, each time in so many ways.
+DEPTHS, SPLITS = 3, 6
 #: Agreement of signatures below / above which a pair is settled without its shingles.
 SURE = (0.64, 0.94)
 
@@ -158,6 +160,26 @@ def _pairs(buckets: DataFrame, small: int) -> DataFrame:
     return close.unionByName(star).distinct()
 
 
+def _named(rows: DataFrame, comp: DataFrame, column: str) -> DataFrame:
+    """`rows` with the component of a column's signatures (their own name if they have no link yet)."""
+    names = comp.select(F.col("node").alias(column), F.col("comp").alias("__comp"))
+    return rows.join(names, column, "left").withColumn(f"comp_{column}", F.coalesce("__comp", column)).drop("__comp")
+
+
+def _finer(buckets: DataFrame, sigs: DataFrame, comp: DataFrame, small: int, depth: int) -> DataFrame:
+    """Large buckets that hold several components yet, split by three further coordinates, in SPLITS ways.
+
+    Texts above the threshold share three given coordinates more often than not, texts
+    that only have a passage in common rarely do.
+    """
+    named = _named(buckets, comp, "rep")
+    open_ = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp_rep").alias("lo"), F.max("comp_rep").alias("hi")).filter((F.col("n") > small) & (F.col("lo") != F.col("hi")))
+    rows = buckets.join(open_.select("key"), "key").join(sigs.select("rep", "sig"), "rep")
+    starts = [(depth * SPLITS + t) * 3 % (COORDINATES - 2) for t in range(SPLITS)]
+    keys = F.array(*[F.xxhash64("key", F.lit(t), F.substring("sig", 2 * c + 1, 6)) for t, c in enumerate(starts)])
+    return staged(rows.select("rep", F.explode(keys).alias("key")), "finer")
+
+
 def _jaccard(iterator):
     """Weighted Jaccard similarity of the two texts of each row."""
     for batch in iterator:
@@ -224,20 +246,21 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMA
     buckets = staged(one.select("rep", F.explode("bands").alias("key")), "bands")
     edges = staged(_verified(_pairs(buckets, small), one, docs, threshold), "links")
     comp = components(edges)
-    # Rows of large buckets that no leader reached meet again among themselves.
-    while True:
-        named = buckets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        big = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("n") > small).filter("lo <> hi")
-        rest = staged(named.join(big.select("key", "lo"), "key").filter("comp <> lo").select("rep", "key"), "rest")
-        if not rest.limit(1).count():
+    for depth in range(DEPTHS):
+        finer = _finer(buckets, one, comp, small, depth)
+        if not finer.limit(1).count():
             break
-        seen = edges.select("a", "b")
-        more = staged(_verified(_pairs(rest, small).join(seen, ["a", "b"], "left_anti"), one, docs, threshold), "links")
-        buckets = rest
+        apart = _named(_named(_pairs(finer, small), comp, "a"), comp, "b").filter("comp_a <> comp_b").select("a", "b")
+        more = staged(_verified(apart, one, docs, threshold), "links")
+        buckets = finer
         release(spark)
         if more.limit(1).count():
+            joint = _named(_named(more, comp, "a"), comp, "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+            merged = components(joint).withColumnsRenamed({"node": "comp", "comp": "next"})
+            ends = more.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            known_comp = comp.unionByName(ends.join(comp, "node", "left_anti").select("node", F.col("node").alias("comp")))
+            comp = staged(known_comp.join(merged, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp")), "labels")
             edges = staged(edges.unionByName(more).distinct(), "links")
-            comp = components(edges)
     links = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     member = (
         sigs.select("doc_id", "full").join(reps, "full", "left")
