@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, map_texts, release, staged
+from .common import discard, keep_rows, map_texts, release, staged
 from .components import components
 from .hashing import U, Spans, joined, mix, word_grams, word_spans
 
@@ -143,18 +143,17 @@ def signatures(docs: DataFrame, k: int = COORDINATES, band: int = BAND, shingle:
 
 
 def _pairs(buckets: DataFrame, small: int) -> DataFrame:
-    """Candidate pairs a < b: all of a small bucket; in a large one each row with four leaders."""
+    """Candidate pairs a < b: all of a small bucket; in a large one each row with two leaders."""
     count = staged(
         buckets.groupBy("key").agg(
-            F.count(F.lit(1)).alias("n"), F.min("rep").alias("l0"), F.max("rep").alias("l1"),
-            F.min_by("rep", F.xxhash64("rep")).alias("l2"), F.max_by("rep", F.xxhash64("rep")).alias("l3"),
+            F.count(F.lit(1)).alias("n"), F.min("rep").alias("l0"), F.min_by("rep", F.xxhash64("rep", "key")).alias("l1"),
         ).filter("n > 1"),
         "buckets",
     )
     few = buckets.join(count.filter(F.col("n") <= small).select("key"), "key").groupBy("key").agg(F.array_sort(F.collect_list("rep")).alias("all"))
     inner = F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, small), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     close = few.select(F.explode(inner).alias("p")).select("p.a", "p.b")
-    lead = F.explode(F.array_distinct(F.array("l0", "l1", "l2", "l3")))
+    lead = F.explode(F.array_distinct(F.array("l0", "l1")))
     many = buckets.join(count.filter(F.col("n") > small).drop("n"), "key").select("rep", lead.alias("lead"))
     star = many.filter("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
     return close.unionByName(star).distinct()
@@ -192,35 +191,42 @@ def _jaccard(iterator):
             cuts = np.searchsorted(owner, np.arange(2 * n + 1))
             for i in range(n):
                 x, y = element[cuts[i] : cuts[i + 1]], element[cuts[n + i] : cuts[n + i + 1]]
-                both = len(np.intersect1d(x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 values.append(both / max(1, len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.float64())], names=["a", "b", "sim"])
 
 
-def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose similarity reaches the threshold: by signature where that is clear, else exactly."""
+def _agree(batches):
+    """How often the signatures of each pair agree."""
+    for batch in batches:
+        n = batch.num_rows
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(n, -1) if n else np.zeros((0, 1)) for i in (2, 3))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((x == y).mean(1) if n else np.zeros(0))], names=["a", "b", "est"])
+
+
+def _scored(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The pairs that their signatures do not rule out, with the estimate `est`."""
     left = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
     right = sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
+    est = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_agree, "a bigint, b bigint, est double")
+    out = staged(est.filter(F.col("est") >= SURE[0]), "scored")
+    release(pairs.sparkSession)
+    return out
 
-    def agree(batches):
-        for batch in batches:
-            n = batch.num_rows
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(n, -1) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((x == y).mean(1) if n else np.zeros(0))], names=["a", "b", "est"])
 
-    scored = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(agree, "a bigint, b bigint, est double")
-    scored = staged(scored.filter(F.col("est") >= SURE[0]), "scored")
+def _verified(scored: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The scored pairs whose similarity reaches the threshold: by signature where that is clear, else by their shingles."""
     sure = scored.filter(F.col("est") >= SURE[1]).select("a", "b")
-    open_ = scored.filter(F.col("est") < SURE[1]).select("a", "b")
-    involved = open_.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = staged(docs.select(F.col("doc_id").alias("rep"), "text").join(involved, "rep", "left_semi").dropDuplicates(["rep"]), "texts")
     exact = (
-        open_.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
+        scored.filter(F.col("est") < SURE[1]).select("a", "b")
+        .join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
         .join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
         .select("a", "b", "ta", "tb")
         .mapInArrow(_jaccard, "a bigint, b bigint, sim double")
     )
-    return sure.unionByName(exact.filter(F.col("sim") >= threshold).select("a", "b"))
+    out = staged(sure.unionByName(exact.filter(F.col("sim") >= threshold).select("a", "b")), "links")
+    release(scored.sparkSession)
+    return out
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMALL) -> DataFrame:
@@ -244,23 +250,29 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMA
         "ones",
     )
     buckets = staged(one.select("rep", F.explode("bands").alias("key")), "bands")
-    edges = staged(_verified(_pairs(buckets, small), one, docs, threshold), "links")
+    scored = _scored(_pairs(buckets, small), one)
+    # The texts that this and the finer rounds may compare: read once.
+    large = buckets.join(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > small).select("key"), "key").select("rep")
+    asked = scored.filter(F.col("est") < SURE[1]).select(F.explode(F.array("a", "b")).alias("rep")).unionByName(large).distinct()
+    texts = staged(docs.select(F.col("doc_id").alias("rep"), "text").join(asked, "rep", "left_semi").dropDuplicates(["rep"]), "texts")
+    release(spark)
+    edges = _verified(scored, texts, threshold)
     comp = components(edges)
     for depth in range(DEPTHS):
         finer = _finer(buckets, one, comp, small, depth)
         if not finer.limit(1).count():
             break
         apart = _named(_named(_pairs(finer, small), comp, "a"), comp, "b").filter("comp_a <> comp_b").select("a", "b")
-        more = staged(_verified(apart, one, docs, threshold), "links")
+        more = _verified(_scored(apart, one), texts, threshold)
         buckets = finer
-        release(spark)
         if more.limit(1).count():
             joint = _named(_named(more, comp, "a"), comp, "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
-            merged = components(joint).withColumnsRenamed({"node": "comp", "comp": "next"})
+            merged = components(joint).select(F.col("node").alias("comp"), F.col("comp").alias("next"))
             ends = more.select(F.explode(F.array("a", "b")).alias("node")).distinct()
             known_comp = comp.unionByName(ends.join(comp, "node", "left_anti").select("node", F.col("node").alias("comp")))
             comp = staged(known_comp.join(merged, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp")), "labels")
             edges = staged(edges.unionByName(more).distinct(), "links")
+    discard(texts)
     links = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     member = (
         sigs.select("doc_id", "full").join(reps, "full", "left")
