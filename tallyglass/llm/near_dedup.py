@@ -29,7 +29,7 @@ BAND = 5
 #: Buckets of up to so many signatures are compared pair by pair; larger ones by leaders.
 SMALL = 16
 #: Large buckets that stay mixed are split so often, each time in so many ways.
-DEPTHS, SPLITS = 3, 6
+DEPTHS, SPLITS = 2, 3
 #: Agreement of signatures below / above which a pair is settled without its shingles.
 SURE = (0.64, 0.94)
 
@@ -143,19 +143,24 @@ def signatures(docs: DataFrame, k: int = COORDINATES, band: int = BAND, shingle:
 
 
 def _pairs(buckets: DataFrame, small: int) -> DataFrame:
-    """Candidate pairs a < b: all of a small bucket; in a large one each row with two leaders."""
+    """Candidate pairs a < b from (key, rep, comp), only between components.
+
+    All pairs of a small bucket; in a large one each row with two leaders.
+    """
+    lead = F.struct("rep", "comp")
     count = staged(
         buckets.groupBy("key").agg(
-            F.count(F.lit(1)).alias("n"), F.min("rep").alias("l0"), F.min_by("rep", F.xxhash64("rep", "key")).alias("l1"),
-        ).filter("n > 1"),
+            F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+            F.min(lead).alias("l0"), F.min_by(lead, F.xxhash64("rep", "key")).alias("l1"),
+        ).filter("n > 1 and lo <> hi").drop("lo", "hi"),
         "buckets",
     )
-    few = buckets.join(count.filter(F.col("n") <= small).select("key"), "key").groupBy("key").agg(F.array_sort(F.collect_list("rep")).alias("all"))
-    inner = F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, small), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    few = buckets.join(count.filter(F.col("n") <= small).select("key"), "key").groupBy("key").agg(F.array_sort(F.collect_list(lead)).alias("all"))
+    inner = F.flatten(F.transform("all", lambda x, i: F.transform(F.filter(F.slice("all", i + 2, small), lambda y: y["comp"] != x["comp"]), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b")))))
     close = few.select(F.explode(inner).alias("p")).select("p.a", "p.b")
-    lead = F.explode(F.array_distinct(F.array("l0", "l1")))
-    many = buckets.join(count.filter(F.col("n") > small).drop("n"), "key").select("rep", lead.alias("lead"))
-    star = many.filter("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
+    others = F.filter(F.array_distinct(F.array("l0", "l1")), lambda x: x["comp"] != F.col("comp"))
+    many = buckets.join(count.filter(F.col("n") > small).drop("n"), "key").select("rep", F.explode(others).alias("lead"))
+    star = many.select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"))
     return close.unionByName(star).distinct()
 
 
@@ -169,14 +174,15 @@ def _finer(buckets: DataFrame, sigs: DataFrame, comp: DataFrame, small: int, dep
     """Large buckets that hold several components yet, split by three further coordinates, in SPLITS ways.
 
     Texts above the threshold share three given coordinates more often than not, texts
-    that only have a passage in common rarely do.
+    that only have a passage in common rarely do. Which coordinates, the bucket's key says.
     """
-    named = _named(buckets, comp, "rep")
-    open_ = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp_rep").alias("lo"), F.max("comp_rep").alias("hi")).filter((F.col("n") > small) & (F.col("lo") != F.col("hi")))
-    rows = buckets.join(open_.select("key"), "key").join(sigs.select("rep", "sig"), "rep")
-    starts = [(depth * SPLITS + t) * 3 % (COORDINATES - 2) for t in range(SPLITS)]
-    keys = F.array(*[F.xxhash64("key", F.lit(t), F.substring("sig", 2 * c + 1, 6)) for t, c in enumerate(starts)])
-    return staged(rows.select("rep", F.explode(keys).alias("key")), "finer")
+    named = _named(buckets.drop("comp"), comp, "rep").withColumnRenamed("comp_rep", "comp")
+    mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter((F.col("n") > small) & (F.col("lo") != F.col("hi")))
+    rows = named.join(mixed.select("key"), "key").join(sigs.select("rep", "sig"), "rep")
+    groups = COORDINATES // 3
+    first = lambda t: F.pmod(F.xxhash64("key", F.lit(depth * SPLITS + t)), F.lit(groups)) * 6 + 1
+    keys = F.array(*[F.xxhash64("key", F.lit(t), F.substring("sig", first(t).cast("int"), F.lit(6))) for t in range(SPLITS)])
+    return staged(rows.select("rep", "comp", F.explode(keys).alias("key")), "finer")
 
 
 def _jaccard(iterator):
@@ -249,7 +255,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMA
         .dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "sig", "bands"),
         "ones",
     )
-    buckets = staged(one.select("rep", F.explode("bands").alias("key")), "bands")
+    buckets = staged(one.select("rep", F.col("rep").alias("comp"), F.explode("bands").alias("key")), "bands")
     scored = _scored(_pairs(buckets, small), one)
     # The texts that this and the finer rounds may compare: read once.
     large = buckets.join(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > small).select("key"), "key").select("rep")
@@ -262,8 +268,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMA
         finer = _finer(buckets, one, comp, small, depth)
         if not finer.limit(1).count():
             break
-        apart = _named(_named(_pairs(finer, small), comp, "a"), comp, "b").filter("comp_a <> comp_b").select("a", "b")
-        more = _verified(_scored(apart, one), texts, threshold)
+        more = _verified(_scored(_pairs(finer, small), one), texts, threshold)
         buckets = finer
         if more.limit(1).count():
             joint = _named(_named(more, comp, "a"), comp, "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
