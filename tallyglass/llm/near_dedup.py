@@ -151,7 +151,7 @@ def _pairs(buckets: DataFrame, small: int) -> DataFrame:
     count = staged(
         buckets.groupBy("key").agg(
             F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-            F.min(lead).alias("l0"), F.min_by(lead, F.xxhash64("rep", "key")).alias("l1"),
+            F.min(lead).alias("l0"), F.min_by(lead, F.xxhash64("rep")).alias("l1"),
         ).filter("n > 1 and lo <> hi").drop("lo", "hi"),
         "buckets",
     )
