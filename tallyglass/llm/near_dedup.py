@@ -182,7 +182,14 @@ def _finer(buckets: DataFrame, sigs: DataFrame, comp: DataFrame, small: int, dep
     groups = COORDINATES // 3
     first = lambda t: F.pmod(F.xxhash64("key", F.lit(depth * SPLITS + t)), F.lit(groups)) * 6 + 1
     keys = F.array(*[F.xxhash64("key", F.lit(t), F.substring("sig", first(t).cast("int"), F.lit(6))) for t in range(SPLITS)])
-    return staged(rows.select("rep", "comp", F.explode(keys).alias("key")), "finer")
+    rows = staged(rows.join(mixed.select("key", "lo"), "key").select("rep", "comp", (F.col("comp") == F.col("lo")).alias("main"), keys.alias("keys")), "mixed")
+    # Rows of a bucket's main component matter only where a row of another one meets them.
+    apart = rows.filter("not main").select("rep", "comp", F.explode("keys").alias("key"))
+    wanted = staged(apart.select("key").distinct(), "wanted")
+    for t in range(SPLITS):
+        own = rows.filter("main").select("rep", "comp", F.col("keys")[t].alias("key"))
+        apart = apart.unionByName(own.join(wanted, "key", "left_semi"))
+    return staged(apart, "finer")
 
 
 def _jaccard(iterator):
