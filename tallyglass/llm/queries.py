@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chain_dedup import repeated_passages
 from .common import table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_groups
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": lambda s, d: identify(docs(s, d)).drop("bits_per_char"),
         "op3_secrets": lambda s, d: scan_secrets(docs(s, d)),
         "op4_exact_dedup": lambda s, d: exact_groups(docs(s, d)),
+        "op5_repeated_passages": lambda s, d: repeated_passages(docs(s, d)),
         "op6_near_dedup": lambda s, d: near_classes(docs(s, d)),
         "op7_decontaminate": lambda s, d: decontaminate(docs(s, d), table(s, d, "benchmark")),
         "op8_token_counts": lambda s, d: count_tokens(docs(s, d)),
