@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +79,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts have about `limit` bytes (or are one text)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("int64")
+    total = sizes.cumsum()
+    at = 0
+    while at < len(sizes):
+        done = total[at - 1] if at else 0
+        end = max(at + 1, int(total.searchsorted(done + limit, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def map_texts(
     docs: DataFrame,
     make: Callable[[], Callable[[list[str | None]], list[pa.Array]]],
@@ -102,12 +115,7 @@ def map_texts(
         arrow = to_arrow_schema(out)
         work = make()
         for batch in batches:
-            rows = batch.num_rows
-            if not rows:
-                continue
-            step = max(1, int(rows * min(1.0, SLICE_BYTES / max(1, batch.get_total_buffer_size()))))
-            for at in range(0, rows, step):
-                part = batch.slice(at, step)
+            for part in by_bytes(batch, n_head):
                 made = work(part.column(n_head).to_pylist())
                 columns = [part.column(i) for i in range(n_head)] + made
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 U = np.uint64
@@ -80,6 +82,9 @@ def word_spans(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     """Start, end and text number of every word (run without white space)."""
     ink = ~_SPACE[data]
     first, last = ink.copy(), ink.copy()
+    if not len(data):
+        none = np.zeros(0, np.int64)
+        return none, none, none
     first[1:] &= ~ink[:-1]
     last[:-1] &= ~ink[1:]
     inner = starts[(starts > 0) & (starts < len(data))]
@@ -89,6 +94,42 @@ def word_spans(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return a, b, np.searchsorted(starts, a, side="right") - 1
 
 
+#: Words are hashed in parts of about so many bytes, whatever a text's length.
+PART = 1 << 20
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text number of every lower-cased word. Long texts are cut at white space."""
+    hashes, owners, some, whose, size = [], [], [], [], 0
+
+    def flush() -> None:
+        data, starts = joined(some)
+        a, b, part = word_spans(data, starts)
+        if len(a):
+            hashes.append(Spans(data)(a, b))
+            owners.append(np.array(whose, np.int64)[part])
+
+    for i, text in enumerate(texts):
+        raw, at = (text or "").lower().encode("utf-8", "replace"), 0
+        while at < len(raw):
+            end = len(raw)
+            if end - at > PART:
+                gap = re.compile(rb"[ \t-\r]").search(raw, at + PART)
+                end = gap.start() if gap else end
+            some.append(raw[at:end])
+            whose.append(i)
+            size, at = size + end - at, end
+            if size >= PART:
+                flush()
+                some.clear()
+                whose.clear()
+                size = 0
+    flush()
+    if not hashes:
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(owners)
+
+
 def word_grams(word: np.ndarray, k: int) -> np.ndarray:
     """Hash of every k consecutive word hashes."""
     n = len(word) - k + 1

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, release, staged
+from .common import by_bytes, discard, release, staged
 from .hashing import U, Spans, mix, sliding_min
 
 LENGTH = 200
@@ -97,8 +97,7 @@ def _encoded(column: pa.Array) -> list[bytes]:
 def _sample(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in by_bytes(batch, 2):
                 for data, valid, row, offset in _pieces(_encoded(part.column(2)), length):
                     lo_, hi, a, h, g = _runs(data, valid, length, gram)
                     take = pa.array(row[lo_])
