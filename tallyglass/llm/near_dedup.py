@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, keep_rows, map_texts, release, staged
 from .components import components
-from .hashing import U, Spans, joined, mix, word_grams, word_spans
+from .hashing import U, mix, word_grams, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -36,11 +36,9 @@ SURE = (0.64, 0.94)
 
 def shingles(texts: list[str | None], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text number of every k-word shingle, lower-cased; fewer words: one shingle of all."""
-    data, starts = joined([(t or "").lower().encode("utf-8", "replace") for t in texts])
-    a, b, doc = word_spans(data, starts)
-    if not len(a):
+    word, doc = word_hashes(texts)
+    if not len(word):
         return np.zeros(0, U), np.zeros(0, np.int64)
-    word = Spans(data)(a, b)
     gram = word_grams(word, k)
     ok = doc[: len(gram)] == doc[k - 1 :] if len(gram) else np.zeros(0, bool)
     hashes, owner = gram[ok], doc[: len(gram)][ok]
@@ -145,21 +143,20 @@ def signatures(docs: DataFrame, k: int = COORDINATES, band: int = BAND, shingle:
 def _pairs(buckets: DataFrame, small: int) -> DataFrame:
     """Candidate pairs a < b from (key, rep, comp), only between components.
 
-    All pairs of a small bucket; in a large one each row with two leaders.
+    All pairs of a small bucket; in a large one each row with its first.
     """
     lead = F.struct("rep", "comp")
     count = staged(
         buckets.groupBy("key").agg(
             F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-            F.min(lead).alias("l0"), F.min_by(lead, F.xxhash64("rep")).alias("l1"),
+            F.min(lead).alias("lead"),
         ).filter("n > 1 and lo <> hi").drop("lo", "hi"),
         "buckets",
     )
     few = buckets.join(count.filter(F.col("n") <= small).select("key"), "key").groupBy("key").agg(F.array_sort(F.collect_list(lead)).alias("all"))
     inner = F.flatten(F.transform("all", lambda x, i: F.transform(F.filter(F.slice("all", i + 2, small), lambda y: y["comp"] != x["comp"]), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b")))))
     close = few.select(F.explode(inner).alias("p")).select("p.a", "p.b")
-    others = F.filter(F.array_distinct(F.array("l0", "l1")), lambda x: x["comp"] != F.col("comp"))
-    many = buckets.join(count.filter(F.col("n") > small).drop("n"), "key").select("rep", F.explode(others).alias("lead"))
+    many = buckets.join(count.filter(F.col("n") > small).drop("n"), "key").filter(F.col("lead.comp") != F.col("comp"))
     star = many.select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"))
     return close.unionByName(star).distinct()
 
