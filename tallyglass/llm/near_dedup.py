@@ -29,7 +29,7 @@ BAND = 5
 #: Buckets of up to so many signatures are compared pair by pair; larger ones by leaders.
 SMALL = 16
 #: Large buckets that stay mixed are split so often, each time in so many ways.
-DEPTHS, SPLITS = 2, 3
+DEPTHS, SPLITS = 2, 2
 #: Agreement of signatures below / above which a pair is settled without its shingles.
 SURE = (0.64, 0.94)
 
