@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASE = 10
@@ -101,7 +101,9 @@ def phrase_matches(docs: DataFrame, bench: DataFrame, size: int = PHRASE) -> tup
         "left",
     ).join(ids.select("phrase_id", "phrase", "n"), "phrase_id")
     exact = counted.filter(F.coalesce("found", F.lit(0)) == F.greatest(F.lit(0), F.col("n") - 2)).select("phrase", "doc_id", "start", "n")
-    return staged(exact, "matches"), owners
+    matches = staged(exact, "matches")
+    discard(index, both)
+    return matches, owners
 
 
 def _intersect(index: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, staged
+from .common import keep_rows, release, staged
 
 WHITE = r"[\x20\x09-\x0D]+"
 SALTS = 64
@@ -42,17 +42,12 @@ def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
         .agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")),
         "winners",
     )
+    release(docs.sparkSession)
     by_digest = winners.groupBy("digest").agg(
         F.count(F.lit(1)).alias("texts"), F.min("keep_id").alias("keep_id"), F.min("group_size").alias("group_size")
     )
     plain = by_digest.filter("texts = 1").select("digest", "keep_id", "group_size")
     clash = by_digest.filter("texts > 1").select("digest")
-    # A digest that two texts share is settled by the texts themselves; the frame is empty in practice.
-    by_text = (
-        texts.join(clash, "digest", "left_semi")
-        .join(winners, ["digest", "norm"])
-        .select("doc_id", "digest", "keep_id", "group_size")
-    )
     single = (
         ids.join(clash, "digest", "left_anti")
         .join(plain, "digest", "left")
@@ -62,7 +57,11 @@ def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
             F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         )
     )
-    return single.unionByName(by_text).select(
+    if not clash.isEmpty():
+        # Digests that several texts share (never seen): the texts themselves settle them.
+        by_text = texts.join(clash, "digest", "left_semi").join(winners, ["digest", "norm"])
+        single = single.unionByName(by_text.select("doc_id", "digest", "keep_id", "group_size"))
+    return single.select(
         "doc_id", "keep_id", "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),

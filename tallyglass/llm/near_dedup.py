@@ -260,6 +260,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMA
         "ones",
     )
     buckets = staged(one.select("rep", F.col("rep").alias("comp"), F.explode("bands").alias("key")), "bands")
+    first_buckets = buckets
     scored = _scored(_pairs(buckets, small), one)
     # The texts that this and the finer rounds may compare: read once.
     large = buckets.join(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > small).select("key"), "key").select("rep")
@@ -281,7 +282,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMA
             known_comp = comp.unionByName(ends.join(comp, "node", "left_anti").select("node", F.col("node").alias("comp")))
             comp = staged(known_comp.join(merged, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp")), "labels")
             edges = staged(edges.unionByName(more).distinct(), "links")
-    discard(texts)
+    discard(texts, one, first_buckets, scored)
     links = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     member = (
         sigs.select("doc_id", "full").join(reps, "full", "left")
@@ -290,6 +291,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMA
         .select("doc_id", F.coalesce("comp", "rep", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     )
     member = staged(member, "members")
+    discard(sigs, reps)
     sizes = member.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
     own = F.col("class_id").isNull()
     return member.join(sizes, "class_id", "left").select("doc_id", "class_id", "n_links", F.when(own, 1).otherwise(F.col("class_size")).alias("class_size"))
