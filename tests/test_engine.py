@@ -1,3 +1,4 @@
+import hashlib
 import random
 import struct
 
@@ -8,7 +9,7 @@ from tallyglass.functions import gorilla
 from tallyglass.functions.language import QueryError
 from tallyglass.functions.model import fnv32
 from tallyglass.operators import storage, traces
-from tallyglass.operators.traffic import Breaker, Budget, Cache
+from tallyglass.operators.traffic import Breaker, Budget, Cache, cache_key
 from tallyglass.plans.engine import Engine
 
 SCHEMA = "name string, labels map<string,string>, t bigint, v double, epoch bigint, arrival bigint"
@@ -82,6 +83,14 @@ def test_state_machines():
     assert k.state == "closed"
 
 
+def test_cache_key(spark):
+    rows = spark.createDataFrame([("acme", "m1", None, [("user", "héllo"), ("assistant", "")]), ("b", "m", 7, [])], "tenant string, model string, cap int, messages array<struct<role:string,content:string>>")
+    got = rows.select(cache_key(F.col("tenant"), F.col("model"), F.col("cap"), F.col("messages"))).collect()
+    for row, fields in zip(got, (["acme", "m1", "0", "\0default", "user", "héllo", "assistant", ""], ["b", "m", "0", "7"]), strict=True):
+        raw = b"".join(len(x.encode()).to_bytes(4, "big") + x.encode() for x in fields)
+        assert row[0] == hashlib.sha256(raw).hexdigest()
+
+
 def test_codec():
     rng = random.Random(3)
     for _ in range(60):
