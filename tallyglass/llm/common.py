@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 #: Texts are handed to the per-batch functions in slices of about so many bytes.
 SLICE_BYTES = 1 << 20
 _own_dir: dict[str, str] = {}
+#: The tables that the innermost `settled` of this thread has seen written.
+_within: ContextVar[list[DataFrame] | None] = ContextVar("within", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +66,24 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     atexit.register(_delete, spark, path.rpartition("/")[0])
     table = spark.read.schema(df.schema).parquet(path)
     table._staged_at = path.rpartition("/")[0]
+    if (within := _within.get()) is not None:
+        within.append(table)
     return table
 
 
+def settled(make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """What `make` returns, staged; the tables that it has staged on its way are deleted."""
+    token = _within.set(made := [])
+    try:
+        found = make()
+    finally:
+        _within.reset(token)
+    found = staged(found, tag)
+    if made:
+        discard(*made)
+    return found
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete staged tables that nothing will read again, and free their shuffle files."""
     for table in tables:
@@ -125,5 +143,5 @@ def map_texts(
 
 def keep_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of `docs` whose doc_id is in `ids` (null matches null), with all columns."""
-    known = ids.select(F.col("doc_id").alias("__keep_id")).distinct()
+    known = ids.select(F.col("doc_id").alias("__keep_id"))
     return docs.join(known, docs["doc_id"].eqNullSafe(known["__keep_id"]), "left_semi")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, staged
+from .common import discard, settled, staged
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASE = 10
@@ -172,6 +172,5 @@ def decontaminate(docs: DataFrame, bench: DataFrame, size: int = PHRASE) -> Data
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, size: int = PHRASE) -> DataFrame:
     """The rows of `docs` in which no phrase of an item occurs, all columns kept."""
-    matches, _ = phrase_matches(docs, bench, size)
-    hit = matches.select(F.col("doc_id").alias("__hit_id")).distinct()
+    hit = settled(lambda: phrase_matches(docs, bench, size)[0].select(F.col("doc_id").alias("__hit_id")).distinct(), "hit")
     return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__hit_id"]), "left_anti")

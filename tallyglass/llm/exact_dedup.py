@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, release, staged
+from .common import keep_rows, release, settled, staged
 
 WHITE = r"[\x20\x09-\x0D]+"
 SALTS = 64
@@ -73,4 +73,4 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Rows that repeat a kept doc_id all stay (see `exact_groups`).
     """
-    return keep_rows(docs, exact_groups(docs).filter("kept"))
+    return keep_rows(docs, settled(lambda: exact_groups(docs).filter("kept").select("doc_id"), "kept"))

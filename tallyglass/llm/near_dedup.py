@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, keep_rows, map_texts, release, staged
+from .common import discard, keep_rows, map_texts, release, settled, staged
 from .components import components
 from .hashing import U, mix, word_grams, word_hashes
 
@@ -299,5 +299,5 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMA
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of every class, the one with the smallest doc_id, all columns kept."""
-    classes = near_classes(docs, threshold)
-    return keep_rows(docs, classes.filter(F.col("class_id").eqNullSafe(F.col("doc_id"))))
+    own = F.col("class_id").eqNullSafe(F.col("doc_id"))
+    return keep_rows(docs, settled(lambda: near_classes(docs, threshold).filter(own).select("doc_id"), "kept"))
