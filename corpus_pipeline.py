@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import staged, table
+from tallyglass.llm.common import settled, staged, table
 from tallyglass.llm.decontaminate import drop_contaminated
 from tallyglass.llm.exact_dedup import keep_first
 from tallyglass.llm.mixing import mix
@@ -41,7 +41,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat a doc_id share the larger of their numbers of copies.
     """
-    taken = mix(docs).filter("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("size").alias("size"), F.max("copies").alias("copies"))
+    largest = [F.max(c).alias(c) for c in ("size", "copies")]
+    taken = settled(lambda: mix(docs).filter("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(*largest), "taken")
     return docs.drop("size", "copies").join(taken, docs["doc_id"].eqNullSafe(taken["__id"])).drop("__id")
 
 
