@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, release, settled, staged
+from .common import discard, keep_rows, settled, staged
 
 WHITE = r"[\x20\x09-\x0D]+"
 SALTS = 64
@@ -28,28 +28,36 @@ def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     An empty input gives an empty result. Other columns are ignored.
     """
     norm = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), WHITE, " ")
-    texts = docs.select("doc_id", norm.alias("norm")).withColumn("digest", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
+    digest = F.unhex(F.sha2(F.col("norm").cast("binary"), 256))
+    texts = docs.select("doc_id", norm.alias("norm")).withColumn("digest", digest)
     ids = staged(texts.select("doc_id", "digest"), "digests")
-    shared = ids.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
+    # Written first: Spark can split a hot digest only where both sides of a join come straight from a shuffle.
+    shared = staged(ids.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "shared")
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts))
+    # Not grouped by the digest: the join's partitioning would serve then, and the salt would part nothing.
     salted = (
         texts.join(shared, "digest", "left_semi")
-        .groupBy("digest", "norm", salt.alias("salt"))
+        .groupBy("norm", salt.alias("salt"))
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     )
     winners = staged(
-        salted.groupBy("digest", "norm")
-        .agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")),
+        salted.groupBy("norm")
+        .agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        .withColumn("digest", digest),
         "winners",
     )
-    release(docs.sparkSession)
-    by_digest = winners.groupBy("digest").agg(
-        F.count(F.lit(1)).alias("texts"), F.min("keep_id").alias("keep_id"), F.min("group_size").alias("group_size")
+    discard(shared)
+    by_digest = staged(
+        winners.groupBy("digest").agg(
+            F.count(F.lit(1)).alias("texts"), F.min("keep_id").alias("keep_id"), F.min("group_size").alias("group_size")
+        ),
+        "groups",
     )
     plain = by_digest.filter("texts = 1").select("digest", "keep_id", "group_size")
     clash = by_digest.filter("texts > 1").select("digest")
+    clashing = not clash.isEmpty()
     single = (
-        ids.join(clash, "digest", "left_anti")
+        (ids.join(clash, "digest", "left_anti") if clashing else ids)
         .join(plain, "digest", "left")
         .select(
             "doc_id", "digest",
@@ -57,7 +65,7 @@ def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
             F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         )
     )
-    if not clash.isEmpty():
+    if clashing:
         # Digests that several texts share (never seen): the texts themselves settle them.
         by_text = texts.join(clash, "digest", "left_semi").join(winners, ["digest", "norm"])
         single = single.unionByName(by_text.select("doc_id", "digest", "keep_id", "group_size"))
