@@ -6,7 +6,8 @@ threshold fitted to the text's total weight are thrown at all, so a long text co
 hash per shingle and a fixed number of darts. The earliest dart of each coordinate makes
 the signature: two texts agree in a coordinate as often as their weighted Jaccard
 similarity says. Bands of coordinates are joined, candidates are compared, and links
-become classes.
+become classes. Leaders and splits of large buckets only join most of their rows cheaply:
+every pair of a bucket that is in different components after them is compared too.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ BAND = 5
 SMALL = 16
 #: Large buckets that stay mixed are split so often, each time in so many ways.
 DEPTHS, SPLITS = 2, 2
+#: What is mixed even then is compared in full, in blocks of about so many signatures on each side.
+BLOCK = 2048
 #: Agreement of signatures below / above which a pair is settled without its shingles.
 SURE = (0.64, 0.94)
 
@@ -189,6 +192,58 @@ def _finer(buckets: DataFrame, sigs: DataFrame, comp: DataFrame, small: int, dep
     return staged(apart, "finer")
 
 
+def _block(rows: pa.Table) -> pa.Table:
+    """The pairs of a block, between components, that their signatures do not rule out."""
+    rep, comp, left, apart = (rows.column(c).to_numpy() for c in ("rep", "comp", "left", "apart"))
+    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(len(rep), -1)
+    x, y = np.flatnonzero(left), np.flatnonzero(~left)
+    a, b, est = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    right = np.ascontiguousarray(sig[y])
+    for i in x.tolist():
+        # Two rows apart from the main component meet twice: once as either side.
+        meets = (comp[y] != comp[i]) & (~apart[y] | (rep[y] > rep[i]))
+        share = (right == sig[i]).mean(1)
+        hit = np.flatnonzero(meets & (share >= SURE[0]))
+        a.append(np.minimum(rep[i], rep[y[hit]]))
+        b.append(np.maximum(rep[i], rep[y[hit]]))
+        est.append(share[hit])
+    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "est": np.concatenate(est)})
+
+
+def _rest(buckets: DataFrame, sigs: DataFrame, comp: DataFrame, small: int, block: int) -> DataFrame:
+    """Every pair of a large bucket between components, scored: (a, b, est).
+
+    Each row apart from the bucket's largest component meets all rows of the others.
+    Both sides are dealt in blocks, so that no task holds a whole bucket.
+    """
+    named = _named(buckets.drop("comp"), comp, "rep").withColumnRenamed("comp_rep", "comp")
+    parts = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    mixed = staged(
+        parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("main")).filter((F.col("n") > small) & (F.col("n") > F.col("main.n")))
+        .select("key", F.col("main.comp").alias("main"), F.ceil(F.col("n") / block).alias("all"), F.ceil((F.col("n") - F.col("main.n")) / block).alias("few")),
+        "mixed",
+    )
+    rows = named.join(mixed, "key").withColumn("apart", F.col("comp") != F.col("main")).join(sigs.select("rep", "sig"), "rep")
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    kept = ("key", "rep", "comp", "apart", "sig")
+    left = rows.filter("apart").select(*kept, F.lit(True).alias("left"), own("few").alias("i"), each("all").alias("j"))
+    right = rows.select(*kept, F.lit(False).alias("left"), each("few").alias("i"), own("all").alias("j"))
+    met = left.unionByName(right).groupBy("key", "i", "j").applyInArrow(_block, "a bigint, b bigint, est double")
+    out = staged(met.distinct(), "rest")
+    discard(mixed)
+    return out
+
+
+def _joined(comp: DataFrame, more: DataFrame) -> DataFrame:
+    """The components after further links."""
+    joint = _named(_named(more, comp, "a"), comp, "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+    merged = components(joint).select(F.col("node").alias("comp"), F.col("comp").alias("next"))
+    ends = more.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    known = comp.unionByName(ends.join(comp, "node", "left_anti").select("node", F.col("node").alias("comp")))
+    return staged(known.join(merged, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp")), "labels")
+
+
 def _jaccard(iterator):
     """Weighted Jaccard similarity of the two texts of each row."""
     for batch in iterator:
@@ -276,12 +331,14 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMA
         more = _verified(_scored(_pairs(finer, small), one), texts, threshold)
         buckets = finer
         if more.limit(1).count():
-            joint = _named(_named(more, comp, "a"), comp, "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
-            merged = components(joint).select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-            ends = more.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            known_comp = comp.unionByName(ends.join(comp, "node", "left_anti").select("node", F.col("node").alias("comp")))
-            comp = staged(known_comp.join(merged, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp")), "labels")
+            comp = _joined(comp, more)
             edges = staged(edges.unionByName(more).distinct(), "links")
+    rest = _rest(first_buckets, one, comp, small, BLOCK)
+    more = _verified(rest, texts, threshold)
+    if more.limit(1).count():
+        comp = _joined(comp, more)
+        edges = staged(edges.unionByName(more).distinct(), "links")
+    discard(rest)
     discard(texts, one, first_buckets, scored)
     links = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     member = (

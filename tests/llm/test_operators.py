@@ -77,6 +77,37 @@ def test_large_group_of_near_copies(spark):
     assert {r.class_id for r in near_classes(docs(spark, texts)).collect()} == {0}
 
 
+def test_pairs_of_a_template_family(spark):
+    # All texts are near one template, but only partners reach 0.8 with each other.
+    import random
+
+    draw, texts = random.Random(7), []
+    base = prose(400, 3).split()
+    for i in range(40):
+        w, shared = [*base], draw.sample(range(80), 3)
+        own = [draw.sample([p for p in range(80) if p not in shared], 4) for _ in range(2)]
+        for k in range(2):
+            v = [*w]
+            for p in shared:
+                v[5 * p + 2] = f"both{i}"
+            for p in own[k]:
+                v[5 * p + 2] = f"own{i}x{k}"
+            texts.append(" ".join(v))
+
+    def jaccard(x, y):
+        both = sum((x & y).values())
+        return both / (sum(x.values()) + sum(y.values()) - both)
+
+    grams = [Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4)) for w in map(str.split, texts)]
+    links = [(i, j) for i in range(80) for j in range(i) if jaccard(grams[i], grams[j]) >= 0.8]
+    name = list(range(80))
+    for i, j in links:
+        hi, lo = max(name[i], name[j]), min(name[i], name[j])
+        name = [lo if n == hi else n for n in name]
+    assert len(set(name)) > 20
+    assert [r.class_id for r in near_classes(docs(spark, texts)).orderBy("doc_id").collect()] == name
+
+
 def test_passages(spark):
     shared = prose(70, 5)
     fuzzy = shared.split()
