@@ -105,7 +105,7 @@ def test_pairs_of_a_template_family(spark):
         hi, lo = max(name[i], name[j]), min(name[i], name[j])
         name = [lo if n == hi else n for n in name]
     assert len(set(name)) > 20
-    assert [r.class_id for r in near_classes(docs(spark, texts)).orderBy("doc_id").collect()] == name
+    assert [r.class_id for r in near_classes(docs(spark, texts), small=1).orderBy("doc_id").collect()] == name
 
 
 def test_passages(spark):
@@ -120,6 +120,26 @@ def test_passages(spark):
     assert chains(np.array([0, 5, 10]), np.array([0, 5, 11]))[0] == (0, 16, 0, 17)
 
 
+def test_chains_after_a_long_passage():
+    import numpy as np
+
+    first, second = np.arange(0, 600, 6), np.arange(700, 800, 6)
+    x, y = np.r_[first, second], np.r_[first, second + 3]
+    assert sorted(c[:2] for c in chains(x, y)) == [(0, 600), (700, 802)]
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        x, y = rng.integers(0, 200, (2, 40))
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        best = []
+        for i in range(40):
+            before = [best[j] - 0.2 * (x[i] - x[j] + y[i] - y[j]) for j in range(i) if 0 < x[i] - x[j] <= 60 and 0 < y[i] - y[j] <= 60]
+            best.append(6 + max([0.0, *before]))
+        top = max(best)
+        x0, x1, y0, y1 = chains(x, y)[0]
+        assert any(abs(best[i] - top) < 1e-9 and (x1, y1) == (x[i] + 6, y[i] + 6) for i in range(40))
+
+
 def test_decontaminate(spark):
     item = prose(14, 7)
     texts = [prose(60, 3), prose(20, 3) + " " + " ".join(item.split()[:11]) + " end", "short one", None]
