@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -97,6 +99,24 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """`run` for mapInArrow, after which the worker, which Spark uses again, gives its memory back."""
+
+    @functools.wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not that C library
+                pass
+
+    return inner
+
+
 def by_bytes(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts have about `limit` bytes (or are one text)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("int64")
@@ -138,10 +158,54 @@ def map_texts(
                 columns = [part.column(i) for i in range(n_head)] + made
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return picked.mapInArrow(run, out)
+    return picked.mapInArrow(lean(run), out)
+
+
+def same(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal columns, null matching null; of `b` only its other columns are added."""
+    b = b.withColumnsRenamed({c: f"__{c}" for c in on})
+    return a.join(b, functools.reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[f"__{c}"]) for c in on]), how).drop(*[f"__{c}" for c in on])
+
+
+#: Marks are bits of so many: 4 MB in all, in bitmaps of 4 KB, whatever the input.
+MARKS, PER_MAP = 1 << 25, 1 << 15
+
+
+def marks(rows: DataFrame, *key: str) -> DataFrame:
+    """The hashed keys of `rows` as bitmaps (__slot, __bits): at most MARKS / PER_MAP rows of 4 KB, safe to broadcast."""
+    at = F.pmod(F.xxhash64(*key), F.lit(MARKS))
+    spots = rows.select((at / PER_MAP).cast("int").alias("__slot"), (at % PER_MAP).alias("__at")).distinct()
+    return staged(spots.groupBy("__slot").agg(F.bitmap_construct_agg("__at").alias("__bits")), "marks")
+
+
+def with_marks(rows: DataFrame, marked: DataFrame, *key: str | Column) -> DataFrame:
+    """`rows` with `__maybe`: false only where the key is surely none of the marked ones."""
+    at = F.pmod(F.xxhash64(*key), F.lit(MARKS))
+    put = rows.withColumn("__at", at).withColumn("__slot", (F.col("__at") / PER_MAP).cast("int"))
+    byte = F.substring("__bits", (F.col("__at") % PER_MAP / 8).cast("int") + 1, F.lit(1))
+    hit = F.floor(F.conv(F.hex(byte), 16, 10).cast("int") / F.pow(F.lit(2), F.col("__at") % 8)) % 2 == 1
+    return put.join(F.broadcast(marked), "__slot", "left").withColumn("__maybe", F.coalesce(hit, F.lit(False))).drop("__slot", "__at", "__bits")
+
+
+def text_tag(text: str | Column = "text") -> Column:
+    """A hash by which rows of one doc_id are told apart."""
+    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
 def keep_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of `docs` whose doc_id is in `ids` (null matches null), with all columns."""
     known = ids.select(F.col("doc_id").alias("__keep_id"))
     return docs.join(known, docs["doc_id"].eqNullSafe(known["__keep_id"]), "left_semi")
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of `docs` whose (doc_id, text) is not in `gone` (doc_id, tag; see `text_tag`), with all columns.
+
+    Rows that the bitmaps rule out pass by; only the others are shuffled.
+    """
+    own = docs.withColumn("__row_tag", text_tag())
+    near = with_marks(own, marks(gone, "doc_id", "tag"), "doc_id", "__row_tag")
+    lost = gone.select(F.col("doc_id").alias("__gone_id"), F.col("tag").alias("__gone_tag"))
+    asked = near.filter("__maybe")
+    kept = asked.join(lost, asked["doc_id"].eqNullSafe(lost["__gone_id"]) & (asked["__row_tag"] == lost["__gone_tag"]), "left_anti")
+    return near.filter(~F.col("__maybe")).unionByName(kept).drop("__row_tag", "__maybe")
