@@ -13,14 +13,16 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, map_texts, staged
+from .common import by_bytes, held_out, map_texts, staged
 from .gbt import Calibrated
 
 MAX_TRAIN_ROWS = 20_000
 MAX_LEXICON = 200
+#: Parts of the labelled sample; features of one are made without its labels.
+PARTS = 5
 SEEDS = frozenset("idiot moron stupid dumb loser pathetic worthless disgusting scum trash garbage clown fool imbecile hate shut ugly filthy vermin crap".split())
 YOU = frozenset("you your yours yourself u ur tu te toi vous votre vos du dich dir dein deine ihr euch sie usted ustedes ti tus vosotros".split())
 NAMES = (
@@ -77,6 +79,43 @@ def _array(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), flat)
 
 
+def _lexicons(sample: DataFrame) -> list[dict[str, float]]:
+    """The words that most surely mark a toxic text, with their log odds; at most MAX_LEXICON.
+
+    One lexicon without each of the PARTS of the sample, and behind them that of all.
+    """
+    words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))
+    of = lambda x, k: F.sum(F.when(F.col("part") == k, x).otherwise(0))
+    by_word = (
+        sample.select("part", "toxic", F.explode(words).alias("word"))
+        .filter("word <> ''")
+        .groupBy("word")
+        .agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("b"), *(of(F.col("toxic"), k).alias(f"a{k}") for k in range(PARTS)), *(of(F.lit(1), k).alias(f"b{k}") for k in range(PARTS)))
+    )
+    rows = {r["part"]: (r["ones"], r["n"]) for r in sample.groupBy("part").agg(F.sum("toxic").alias("ones"), F.count(F.lit(1)).alias("n")).collect()}
+    ones, n = (sum(x[i] for x in rows.values()) for i in (0, 1))
+    without = [(ones - x, n - y) for x, y in (rows.get(k, (0, 0)) for k in range(PARTS))] + [(ones, n)]
+    bases = [(x + 1) / (y + 2) for x, y in without]
+    each = [F.struct(F.lit(k).alias("k"), F.lit(bases[k]).alias("base"), (F.col("a") - F.col(f"a{k}")).alias("a"), (F.col("b") - F.col(f"b{k}")).alias("b")) for k in range(PARTS)]
+    each.append(F.struct(F.lit(PARTS).alias("k"), F.lit(bases[PARTS]).alias("base"), "a", "b"))
+    z = (F.col("a") - F.col("b") * F.col("base")) / F.sqrt(F.col("b") * F.col("base") * (1 - F.col("base")) + 1)
+    rank = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("z"), "word"))
+    sure = by_word.select("word", F.explode(F.array(*each)).alias("x")).select("word", "x.*").filter("a >= 4").withColumn("z", z).filter("z > 4")
+    out: list[dict[str, float]] = [{} for _ in bases]
+    for r in sure.withColumn("rank", rank).filter(F.col("rank") <= MAX_LEXICON).orderBy("k", "rank").collect():
+        out[r["k"]][r["word"]] = float(np.log((r["a"] + 0.5) / (r["b"] - r["a"] + 0.5) / (r["base"] / (1 - r["base"]))))
+    return out
+
+
+def _features(sample: DataFrame, lexicons: list[dict[str, float]]) -> DataFrame:
+    """(doc_id, toxic, fold, x): features of the sample, each part by its own lexicon."""
+    out = None
+    for k, words in enumerate(lexicons):
+        one = map_texts(sample.filter(F.col("part") == k), lambda words=words: lambda t: [_array(features(t, words))], "x array<float>", ("toxic", "fold"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> Callable[[list[str | None]], np.ndarray]:
     """Fit on labelled, not held-out rows of `docs`; returns texts -> scores.
 
@@ -91,19 +130,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_RO
     chosen = per_doc.withColumn("fold", fold).filter(F.col("fold") < int(part * 1_000_003) + (part >= 1))
     # At most about max_train_rows rows of three numbers, by the hash: small enough to broadcast at any input size.
     sample = staged(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic", "fold"), "labelled")
-    words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))
-    by_word = (
-        sample.select("toxic", F.explode(words).alias("word"))
-        .filter("word <> ''")
-        .groupBy("word")
-        .agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("b"))
-    )
-    ones, rows = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
-    base = (ones + 1) / (rows + 2)
-    z = (F.col("a") - F.col("b") * base) / F.sqrt(F.col("b") * base * (1 - base) + 1)
-    best = by_word.filter("a >= 4").withColumn("z", z).filter("z > 4").orderBy(F.desc("z"), "word").limit(MAX_LEXICON).collect()
-    learned = {r["word"]: float(np.log((r["a"] + 0.5) / (r["b"] - r["a"] + 0.5) / (base / (1 - base)))) for r in best}
-    made = map_texts(sample, lambda: lambda t: [_array(features(t, learned))], "x array<float>", ("toxic", "fold")).toPandas()
+    sample = sample.withColumn("part", F.pmod("fold", F.lit(PARTS)))
+    *others, learned = _lexicons(sample)
+    # Features of a part come from the other parts' lexicon: no label reaches its own row's features.
+    made = _features(sample, others).toPandas()
     made = made.sort_values(["fold", "doc_id"])
     x = np.array(made["x"].tolist(), np.float32).reshape(len(made), len(NAMES))
     model = Calibrated().fit(x, made["toxic"].to_numpy(float), made["fold"].to_numpy())
@@ -124,5 +154,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """The rows of `docs` that the classifier does not predict toxic, all columns kept."""
     score = learn(docs, labels, max_train_rows)
-    judge = F.pandas_udf(lambda s: __import__("pandas").Series(score(s.tolist()).astype(float)), "double")
+
+    @F.arrow_udf("double")
+    def judge(text: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([text], names=["text"])
+        return pa.array(np.concatenate([np.zeros(0), *(score(part.column(0).to_pylist()).astype(float) for part in by_bytes(batch, 0))]))
+
     return docs.filter(judge("text") < 0.5)
