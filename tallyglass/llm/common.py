@@ -192,20 +192,15 @@ def text_tag(text: str | Column = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
-def keep_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id is in `ids` (null matches null), with all columns."""
-    known = ids.select(F.col("doc_id").alias("__keep_id"))
-    return docs.join(known, docs["doc_id"].eqNullSafe(known["__keep_id"]), "left_semi")
-
-
 def drop_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of `docs` whose (doc_id, text) is not in `gone` (doc_id, tag; see `text_tag`), with all columns.
+    """The rows of `docs` that are not in `gone`, with all columns; null matches null.
 
-    Rows that the bitmaps rule out pass by; only the others are shuffled.
+    `gone` has doc_id, or doc_id and tag (see `text_tag`) to name single rows. Rows that
+    the bitmaps rule out pass by; only the others are shuffled.
     """
-    own = docs.withColumn("__row_tag", text_tag())
-    near = with_marks(own, marks(gone, "doc_id", "tag"), "doc_id", "__row_tag")
-    lost = gone.select(F.col("doc_id").alias("__gone_id"), F.col("tag").alias("__gone_tag"))
+    own, keys = docs.withColumn("__row_tag", text_tag()), ["doc_id", *(["tag"] if "tag" in gone.columns else [])]
+    near = with_marks(own, marks(gone, *keys), *("__row_tag" if k == "tag" else k for k in keys))
+    lost = gone.select([F.col(k).alias(f"__gone_{k}") for k in keys])
     asked = near.filter("__maybe")
-    kept = asked.join(lost, asked["doc_id"].eqNullSafe(lost["__gone_id"]) & (asked["__row_tag"] == lost["__gone_tag"]), "left_anti")
-    return near.filter(~F.col("__maybe")).unionByName(kept).drop("__row_tag", "__maybe")
+    match = functools.reduce(lambda x, y: x & y, [asked["__row_tag" if k == "tag" else k].eqNullSafe(lost[f"__gone_{k}"]) for k in keys])
+    return near.filter(~F.col("__maybe")).unionByName(asked.join(lost, match, "left_anti")).drop("__row_tag", "__maybe")

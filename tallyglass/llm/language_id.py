@@ -19,21 +19,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_texts, staged
+from .common import held_out, lean, map_texts, staged
 from .hashing import U, mix
 
 ORDER = 4
 MAX_TRAIN_ROWS = 4000
+#: Rows, the first by a hash of the id, that calibrate the score.
+MAX_TUNE_ROWS = 2000
 _BLANK = 32
 
 
-def _letters() -> np.ndarray:
-    """For each code point of the first plane: itself if a letter or mark, else a blank. Others: one letter."""
-    ok = [unicodedata.category(chr(c))[0] in "LM" for c in range(0xFFFF)]
-    return np.where(np.r_[ok, True], np.arange(0x10000), _BLANK).astype(np.uint16)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: itself if a letter or mark (beyond the first plane: one code for all), else a blank."""
+    kind = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
+    code = np.minimum(np.arange(0x110000), 0xFFFF)
+    return np.where(np.isin(kind, ["L", "M"]), code, _BLANK).astype(np.uint16), np.array(kind) == "L"
 
 
-_TABLE: list[np.ndarray] = []
+_TABLE: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,12 +49,13 @@ def codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start = np.cumsum(np.r_[0, size + ORDER])
     for r, s in zip(raw, start, strict=False):
         flat[s + ORDER - 1 : s + ORDER - 1 + len(r)] = r
-    code = _TABLE[0][np.minimum(flat, 0xFFFF)]
+    table, is_letter = _TABLE[0]
+    code = table[flat]
     keep = np.ones(len(code), bool)
     keep[1:] = (code[1:] != _BLANK) | (code[:-1] != _BLANK)  # runs of blanks become one,
     for k in range(ORDER - 1):  # but for those that open a text
         keep[start[:-1] + k] = True
-    letter = np.add.reduceat((code != _BLANK).astype(np.int64), start[:-1]) > 0 if len(raw) else np.zeros(0, bool)
+    letter = np.add.reduceat(is_letter[flat].astype(np.int64), start[:-1]) > 0 if len(raw) else np.zeros(0, bool)
     n = np.cumsum(np.r_[0, keep])[start]
     return code[keep], n, letter
 
@@ -218,11 +222,11 @@ def learn(docs: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> Identifier |
     limit = F.create_map(*[F.lit(x) for k in langs for x in (k, int((1 << 30) * min(1.0, max_train_rows / n[k])))])
     sample = staged(rows.filter(mark < limit[F.col("lang")]).withColumn("tune", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(8)) == 0), "sample")
     fit = sample.filter("not tune") if min(n.values()) >= 20 else sample
-    counted = fit.select("lang", "text").mapInArrow(_counts, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    counted = fit.select("lang", "text").mapInArrow(lean(_counts), "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     got = counted.toPandas()
     code = {k: i for i, k in enumerate(langs)}
     model = KneserNey().fit(langs, got["lang"].map(code).to_numpy(int), got["key"].to_numpy(np.int64).view(U), got["n"].to_numpy(float))
-    tune = sample.filter("tune").select("text", "lang").limit(2000).toPandas()
+    tune = sample.filter("tune").withColumn("place", F.xxhash64("doc_id", F.lit(2))).orderBy("place", "doc_id", "text").select("text", "lang").limit(MAX_TUNE_ROWS).toPandas()
     return Identifier(model, tune["text"].tolist(), tune["lang"].map(code).to_numpy())
 
 

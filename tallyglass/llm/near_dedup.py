@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, keep_rows, map_texts, release, settled, staged
+from .common import discard, drop_rows, lean, map_texts, release, settled, staged
 from .components import components
 from .hashing import U, mix, word_grams, word_hashes
 
@@ -273,7 +273,7 @@ def _scored(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """The pairs that their signatures do not rule out, with the estimate `est`."""
     left = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
     right = sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
-    est = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_agree, "a bigint, b bigint, est double")
+    est = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(lean(_agree), "a bigint, b bigint, est double")
     out = staged(est.filter(F.col("est") >= SURE[0]), "scored")
     release(pairs.sparkSession)
     return out
@@ -287,7 +287,7 @@ def _verified(scored: DataFrame, texts: DataFrame, threshold: float) -> DataFram
         .join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
         .join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
         .select("a", "b", "ta", "tb")
-        .mapInArrow(_jaccard, "a bigint, b bigint, sim double")
+        .mapInArrow(lean(_jaccard), "a bigint, b bigint, sim double")
     )
     out = staged(sure.unionByName(exact.filter(F.col("sim") >= threshold).select("a", "b")), "links")
     release(scored.sparkSession)
@@ -311,7 +311,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMA
     )
     one = staged(
         known.join(reps.select(F.col("rep").alias("doc_id"), F.col("full").alias("f2")), "doc_id").filter("full = f2")
-        .dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "sig", "bands"),
+        .groupBy("doc_id").agg(F.min(F.struct("full", "sig", "bands")).alias("least")).select("doc_id", "least.*").select(F.col("doc_id").alias("rep"), "sig", "bands"),
         "ones",
     )
     buckets = staged(one.select("rep", F.col("rep").alias("comp"), F.explode("bands").alias("key")), "bands")
@@ -356,5 +356,5 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMA
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of every class, the one with the smallest doc_id, all columns kept."""
-    own = F.col("class_id").eqNullSafe(F.col("doc_id"))
-    return keep_rows(docs, settled(lambda: near_classes(docs, threshold).filter(own).select("doc_id"), "kept"))
+    other = ~F.col("class_id").eqNullSafe(F.col("doc_id"))
+    return drop_rows(docs, settled(lambda: near_classes(docs, threshold).filter(other).select("doc_id").distinct(), "gone"))

@@ -147,7 +147,37 @@ def test_decontaminate(spark):
     got = {r.doc_id: r for r in decontaminate(docs(spark, texts), bench).collect()}
     assert [(got[i].n_hit, got[i].n_items) for i in range(4)] == [(0, 0), (11, 1), (2, 1), (0, 0)]
     assert got[2].items_sha256 == hashlib.sha256(b"i2").hexdigest()
-    assert {r.doc_id for r in proximity_matches(docs(spark, texts), bench).collect()} >= {1, 2}
+
+
+def test_proximity_is_brute_force(spark):
+    import random
+
+    draw = random.Random(3)
+    texts = [" ".join(draw.choice(WORDS[:9]) for _ in range(draw.randrange(0, 60))) for _ in range(40)]
+    items = [" ".join(draw.choice(WORDS[:7]) for _ in range(n)) for n in (1, 3, 4, 6, 7, 4, 5)]
+    bench = spark.createDataFrame([(f"i{k}", t) for k, t in enumerate(items)], "item_id string, text string")
+    found, owners = proximity_matches(docs(spark, texts), bench, 8, 4)
+    want = set()
+    for d, text in enumerate(texts):
+        w = text.split()
+        for k, item in enumerate(items):
+            v = item.split()
+            last = max(0, len(v) - 4)
+            if any(set(v[s : s + 4]) <= set(w[a : a + 8]) for s in {*range(0, last + 1, 4), last} for a in range(len(w))):
+                want.add((d, f"i{k}"))
+    assert {(r.doc_id, r.item_id) for r in found.join(owners, "phrase").collect()} == want
+    assert 0 < len(want) < 200
+
+
+def test_rows_of_one_id_are_apart(spark):
+    rows = spark.createDataFrame([(1, "aaa"), (5, "aaa"), (5, "bbb"), (7, "ccc"), (7, "ccc"), (None, "aaa"), (None, "ddd")], "doc_id bigint, text string")
+    from tallyglass.llm.exact_dedup import keep_first
+
+    assert sorted(map(str, keep_first(rows).collect())) == sorted(map(str, rows.distinct().filter("doc_id = 1 or text > 'b'").collect()))
+    # Words of two rows of one id do not form a phrase together.
+    bench = spark.createDataFrame([("i", "one two three four")], "item_id string, text string")
+    split = spark.createDataFrame([(1, "one x three x"), (1, "x two x four"), (2, "one two three four")], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.n_hit) for r in decontaminate(split, bench, 4).collect()) == [(1, 0), (1, 0), (2, 4)]
 
 
 def test_secrets():
