@@ -117,6 +117,22 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     return inner
 
 
+#: Rows of texts that Spark hands to Python at once; its own default, 10,000, makes batches of tens of megabytes.
+BATCH_ROWS = 1000
+
+
+def narrow_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS, unless it has smaller ones: buffers outside the heap stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def in_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    narrow_batches(rows.sparkSession)
+    return rows.mapInArrow(lean(run), schema)
+
+
 def by_bytes(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts have about `limit` bytes (or are one text)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("int64")
@@ -158,7 +174,7 @@ def map_texts(
                 columns = [part.column(i) for i in range(n_head)] + made
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return picked.mapInArrow(lean(run), out)
+    return in_arrow(picked, run, out)
 
 
 def same(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, lean, map_texts, staged
+from .common import held_out, in_arrow, map_texts, staged
 from .hashing import U, mix
 
 ORDER = 4
@@ -222,7 +222,7 @@ def learn(docs: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> Identifier |
     limit = F.create_map(*[F.lit(x) for k in langs for x in (k, int((1 << 30) * min(1.0, max_train_rows / n[k])))])
     sample = staged(rows.filter(mark < limit[F.col("lang")]).withColumn("tune", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(8)) == 0), "sample")
     fit = sample.filter("not tune") if min(n.values()) >= 20 else sample
-    counted = fit.select("lang", "text").mapInArrow(lean(_counts), "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    counted = in_arrow(fit.select("lang", "text"), _counts, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     got = counted.toPandas()
     code = {k: i for i, k in enumerate(langs)}
     model = KneserNey().fit(langs, got["lang"].map(code).to_numpy(int), got["key"].to_numpy(np.int64).view(U), got["n"].to_numpy(float))

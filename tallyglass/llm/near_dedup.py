@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, drop_rows, lean, map_texts, release, settled, staged
+from .common import discard, drop_rows, in_arrow, map_texts, release, settled, staged
 from .components import components
 from .hashing import U, mix, word_grams, word_hashes
 
@@ -273,7 +273,7 @@ def _scored(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """The pairs that their signatures do not rule out, with the estimate `est`."""
     left = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
     right = sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
-    est = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(lean(_agree), "a bigint, b bigint, est double")
+    est = in_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), _agree, "a bigint, b bigint, est double")
     out = staged(est.filter(F.col("est") >= SURE[0]), "scored")
     release(pairs.sparkSession)
     return out
@@ -282,13 +282,13 @@ def _scored(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 def _verified(scored: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The scored pairs whose similarity reaches the threshold: by signature where that is clear, else by their shingles."""
     sure = scored.filter(F.col("est") >= SURE[1]).select("a", "b")
-    exact = (
+    close = (
         scored.filter(F.col("est") < SURE[1]).select("a", "b")
         .join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
         .join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
         .select("a", "b", "ta", "tb")
-        .mapInArrow(lean(_jaccard), "a bigint, b bigint, sim double")
     )
+    exact = in_arrow(close, _jaccard, "a bigint, b bigint, sim double")
     out = staged(sure.unionByName(exact.filter(F.col("sim") >= threshold).select("a", "b")), "links")
     release(scored.sparkSession)
     return out

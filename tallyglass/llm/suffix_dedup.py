@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, discard, release, staged
+from .common import by_bytes, discard, in_arrow, release, staged
 from .hashing import U, Spans, mix, sliding_min
 
 LENGTH = 200
@@ -239,7 +239,7 @@ def repeated_windows(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, b
     """(doc_id, tag, lo, hi): runs of window starts whose `length` bytes also start elsewhere."""
     key = f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, tag int"
     span = ["doc_id", "tag", "lo", "hi"]
-    runs = staged(keyed.mapInArrow(_sample(length, gram), f"{key}, lo int, hi int, at int, h bigint, g bigint"), "runs")
+    runs = staged(in_arrow(keyed, _sample(length, gram), f"{key}, lo int, hi int, at int, h bigint, g bigint"), "runs")
     shared = _named(runs)
     discard(runs)
     several = shared.filter("several")
@@ -252,7 +252,7 @@ def repeated_windows(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, b
     )
     with_text = _same(keyed, asked).select("doc_id", "tag", "text", "runs").dropDuplicates(["doc_id", "tag"])
     blocks = staged(
-        with_text.mapInArrow(_blocks(length, block), f"{key}, lo int, hi int, far int, h bigint, g bigint, before binary, behind binary, alone boolean"), "blocks"
+        in_arrow(with_text, _blocks(length, block), f"{key}, lo int, hi int, far int, h bigint, g bigint, before binary, behind binary, alone boolean"), "blocks"
     )
     release(keyed.sparkSession)
     near = _named(blocks)
@@ -265,7 +265,7 @@ def repeated_windows(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, b
     whole2 = own.filter("not several").select(*span)
     again2 = own.filter("several").join(third.filter("n > 1").select("h", "g"), ["h", "g"]).select(*span)
     windows = third.select("one.doc_id", "one.tag", "one.lo", "one.hi", "one.far", "h", "one.before", "one.behind", (F.col("one.alone") & (F.col("n") == 1)).alias("alone"))
-    merged = staged(windows.mapInArrow(_windows(block), f"{key}, p int, h bigint, w bigint, alone boolean"), "windows")
+    merged = staged(in_arrow(windows, _windows(block), f"{key}, p int, h bigint, w bigint, alone boolean"), "windows")
     # Written first: Spark can split a hot name only where both sides of the join come straight from a shuffle.
     equal = staged(merged.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "w"), "equal")
     found = merged.filter("alone").join(equal, ["h", "w"]).select("doc_id", "tag", F.col("p").alias("lo"), F.col("p").alias("hi"))
@@ -288,7 +288,8 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     per_doc = runs.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
     both = _same(keyed, per_doc, "left").select("doc_id", "text", "runs")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return both.mapInArrow(
+    return in_arrow(
+        both,
         _cut(length),
         f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>",
     )

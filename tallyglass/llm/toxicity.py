@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, held_out, map_texts, staged
+from .common import by_bytes, held_out, map_texts, narrow_batches, staged
 from .gbt import Calibrated
 
 MAX_TRAIN_ROWS = 20_000
@@ -160,4 +160,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRA
         batch = pa.RecordBatch.from_arrays([text], names=["text"])
         return pa.array(np.concatenate([np.zeros(0), *(score(part.column(0).to_pylist()).astype(float) for part in by_bytes(batch, 0))]))
 
+    narrow_batches(docs.sparkSession)
     return docs.filter(judge("text") < 0.5)
