@@ -1,11 +1,13 @@
 import hashlib
 import json
+import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from tallyglass.llm.chain_dedup import chains, common_words, repeated_passages
+from tallyglass.llm.chain_dedup import chains, common_words, repeated_passages, runs
 from tallyglass.llm.decontaminate import decontaminate, proximity_matches
 from tallyglass.llm.exact_dedup import exact_groups
 from tallyglass.llm.language_id import identify
@@ -114,30 +116,58 @@ def test_passages(spark):
     fuzzy[30] = "other"
     got = {r.doc_id: r for r in repeated_passages(docs(spark, [prose(200, 3) + " " + shared, shared + " " + prose(150, 11), " ".join(fuzzy), prose(200, 13)])).collect()}
     assert {got[i].class_id for i in (0, 1, 2)} == {0} and got[3].n_passages == 0
-    assert common_words(*[__import__("numpy").array(x) for x in ([1, 2, 3, 4], [2, 9, 4])]) == 2
-    import numpy as np
+    assert common_words(*[np.array(x) for x in ([1, 2, 3, 4], [2, 9, 4])]) == 2
 
-    assert chains(np.array([0, 5, 10]), np.array([0, 5, 11]))[0] == (0, 16, 0, 17)
 
+def invented(draw, n):
+    return " ".join("".join(draw.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(n))
 
-def test_chains_after_a_long_passage():
-    import numpy as np
 
+def test_passages_between_quotes(spark):
+    # 100 and 101 share 120 words, pieces of which stand in documents with smaller and larger ids too.
+    draw = random.Random(5)
+    shared = invented(draw, 120).split()
+    rows = [(k, f"{invented(draw, 90)} {' '.join(shared)} {invented(draw, 90)}") for k in (100, 101)]
+    for base in (0, 200):
+        rows += [(base + i, f"{invented(draw, 60)} {' '.join(shared[24 * i : 24 * i + 24])} {invented(draw, 60)}") for i in range(5)]
+    # 300 and 301 share two passages, 300 and 80 words long.
+    one, two = invented(draw, 300), invented(draw, 80)
+    rows += [(k, f"{invented(draw, 50)} {one} {invented(draw, 100)} {two} {invented(draw, 50)}") for k in (300, 301)]
+    got = {r.doc_id: r for r in repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[100].class_id == got[101].class_id == 100 and got[100].n_links == 1 and got[100].n_words >= 110
+    assert got[301].class_id == 300 and got[301].n_passages == 2 and got[301].n_words >= 365
+    assert all(got[i].n_links == 0 for i in got if i < 100 or 200 <= i < 300)
+
+
+def test_fuzzy_passages_are_found(spark):
+    # Recall against what was planted: passages of 80 words, every 10th of them changed, and some words left out.
+    draw, rows = random.Random(9), []
+    for i in range(40):
+        w = invented(draw, 80).split()
+        v = [invented(draw, 1) if k % 10 == i % 10 else x for k, x in enumerate(w) if k != 33]
+        rows += [(2 * i + k, f"{invented(draw, 70)} {' '.join(x)} {invented(draw, 70)}") for k, x in enumerate((w, v))]
+    rows += [(1000 + i, invented(draw, 200)) for i in range(20)]
+    got = {r.doc_id: r.class_id for r in repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(40)) >= 36
+    assert all(got[i] == i for i in got if i >= 1000 or i % 2 == 0)
+
+
+def test_chains_are_brute_force():
+    draw = np.random.default_rng(5)
+    for _ in range(60):
+        x, y, n = runs(*draw.integers(0, 200, (2, 40)), draw.integers(5, 12, 40))
+        assert len(set(zip((y - x).tolist(), x.tolist(), strict=True))) == len(x)
+        best = []
+        for i in range(len(x)):
+            before = [best[j] - 0.1 * (x[i] + y[i] - x[j] - y[j] - 2 * n[j]) for j in range(len(x)) if x[j] + n[j] - 4 <= x[i] and y[j] + n[j] - 4 <= y[i] and j < i]
+            best.append(n[i] + max([0.0, *before]))
+        found = chains(x, y, n, reach=10**6)
+        assert sorted(k for c in found for k in c) == list(range(len(x)))
+        assert abs(best[found[0][-1]] - max(best)) < 1e-9
     first, second = np.arange(0, 600, 6), np.arange(700, 800, 6)
     x, y = np.r_[first, second], np.r_[first, second + 3]
-    assert sorted(c[:2] for c in chains(x, y)) == [(0, 600), (700, 802)]
-    rng = np.random.default_rng(5)
-    for _ in range(50):
-        x, y = rng.integers(0, 200, (2, 40))
-        order = np.lexsort((y, x))
-        x, y = x[order], y[order]
-        best = []
-        for i in range(40):
-            before = [best[j] - 0.2 * (x[i] - x[j] + y[i] - y[j]) for j in range(i) if 0 < x[i] - x[j] <= 60 and 0 < y[i] - y[j] <= 60]
-            best.append(6 + max([0.0, *before]))
-        top = max(best)
-        x0, x1, y0, y1 = chains(x, y)[0]
-        assert any(abs(best[i] - top) < 1e-9 and (x1, y1) == (x[i] + 6, y[i] + 6) for i in range(40))
+    assert [(a.tolist(), b.tolist(), c.tolist()) for a, b, c in [runs(x, y, np.full(len(x), 6))]] == [([0, 700], [0, 703], [600, 102])]
+    assert sorted(chains(*runs(x, y, np.full(len(x), 6)))) == [[0], [1]]
 
 
 def test_decontaminate(spark):
