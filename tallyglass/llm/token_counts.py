@@ -4,7 +4,7 @@ A pattern automaton lists the vocabulary's matches; dynamic programming over the
 carries the best score and the number of pieces. Ties follow the public unigram
 tokenizer: candidates come by rising start, and only a strictly larger score replaces
 one. A character that no piece covers costs `min score - 10` and counts as its bytes
-where the vocabulary has byte pieces, else as one. No piece of such vocabularies goes on
+where the vocabulary has byte pieces, else a run of such characters counts as one. No piece of such vocabularies goes on
 past a blank, so words are settled one by one, and known words from memory.
 """
 
@@ -62,9 +62,9 @@ class Counter:
         if len(self.auto):
             for end, match in self.auto.iter(text):
                 ends[end].append(match)
-        score, count = [0.0] * (n + 1), [0] * (n + 1)
+        score, count, odd = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
         for end in range(n):
-            top, at, single = None, 0, False
+            top, at, single, unknown = None, 0, False, False
             for size, value in sorted(ends[end], reverse=True):  # by rising start
                 single |= size == 1
                 total = score[end + 1 - size] + value
@@ -73,8 +73,8 @@ class Counter:
             if not single:
                 total = score[end] + self.unknown
                 if top is None or total > top:
-                    top, at = total, count[end] + (len(text[end].encode("utf-8", "replace")) if self.bytes else 1)
-            score[end + 1], count[end + 1] = top, at
+                    top, at, unknown = total, count[end] + (len(text[end].encode("utf-8", "replace")) if self.bytes else not odd[end]), True
+            score[end + 1], count[end + 1], odd[end + 1] = top, at, unknown
         return score[n], count[n]
 
     def __call__(self, text: str | None) -> int:
