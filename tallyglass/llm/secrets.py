@@ -3,7 +3,8 @@
 Patterns find assignments, access keys and hex strings. Beyond them, a value that
 follows a credential word is split into words, dates, repeats, keyboard walks and
 brute-force spans so that the product of guesses is smallest; values that cost at least
-10 ** `MIN_COST` guesses are spans of kind `guess`.
+10 ** `MIN_COST` guesses are spans of kind `guess`. Words cost their rank: common
+passwords come first, then the corpus's own words by the documents that have them.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from math import log10
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_texts
 
@@ -31,11 +33,19 @@ COMMON = (
     "baseball superman batman shadow michael jordan summer winter spring autumn love money computer internet server "
     "database system access private public token key your here insert replace todo xxx value string"
 ).split()
-_RANK = {w: i + 1 for i, w in enumerate(COMMON)}
+#: Words of the corpus that follow them in the ranking, the most frequent ones (by documents).
+CORPUS_WORDS = 20_000
+MIN_DOCS = 2
+Ranks = dict[str, int]
+_RANK: Ranks = {w: i + 1 for i, w in enumerate(COMMON)}
 _LEET = str.maketrans("013457@$!", "oieastasi")
+_NOT_LETTERS = "".join(chr(c) for c in range(128) if not chr(c).isalpha() and c != 32)
 _ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 _NEXT = {(a, b) for row in _ROWS for a, b in zip(row, row[1:])} | {(b, a) for row in _ROWS for a, b in zip(row, row[1:])}
-_DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?")
+_YEAR, _MONTH, _DAY = r"(?:19|20)\d\d", r"[-/.]?(?:0[1-9]|1[0-2])", r"[-/.]?(?:0[1-9]|[12]\d|3[01])"
+_DATES = [re.compile(_YEAR, re.A), re.compile(_YEAR + _MONTH, re.A), re.compile(_YEAR + _MONTH + _DAY, re.A)]
+_DATE_COST = (2.1, 3.1, 4.6)
+#: No word or date is longer.
 _LONGEST = 16
 
 
@@ -44,14 +54,24 @@ def _alphabet(text: str) -> float:
     return log10(max(10, sum(n for k, n in zip(kinds, (26, 26, 10, 33), strict=True) if k)))
 
 
-def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
+def _runs(low: str, joined) -> list[int]:
+    """For each place, the end of the stretch in which all neighbours are `joined`."""
+    end = [len(low)] * len(low)
+    for i in range(len(low) - 2, -1, -1):
+        end[i] = end[i + 1] if joined(low[i], low[i + 1]) else i + 1
+    return end
+
+
+def guess_cost(value: str, ranks: Ranks = _RANK) -> tuple[float, list[tuple[str, int, int]]]:
     """Smallest log10 of guesses over all segmentations of `value`, and that segmentation.
 
-    Ties go to the segment that begins earliest. Every segment after the first costs a
-    factor of 2 more, for not knowing where it begins.
+    Ties go to the segment that is offered first. Every segment after the first costs a
+    factor of 2 more, for not knowing where it begins. Time grows with the length: within
+    a long repeat or walk only places that a word or date can reach are cut, as going on
+    costs less there than any other segment.
     """
     n, char = len(value), _alphabet(value)
-    low = value.lower()
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(_LEET)
     best: list[float] = [0.0] + [float("inf")] * n
     back: list[tuple[str, int]] = [("", 0)] * (n + 1)
@@ -61,8 +81,8 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
         if cost < best[j] - 1e-12:
             best[j], back[j] = cost, (kind, i)
 
-    brute = 0
-    dates = {m.start(): m.end() for m in (_DATE.match(value, i) for i in range(n)) if m}
+    same, walk = _runs(value, lambda a, b: a == b), _runs(low, lambda a, b: (a, b) in _NEXT)
+    brute, since = 0, {"repeat": 0, "walk": 0}
     for i in range(n):
         if i:
             # A brute-force span may go on: its cost is linear, so only its best beginning matters.
@@ -70,23 +90,20 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
                 brute = i
         offer("brute", brute, i + 1, char * (i + 1 - brute))
         for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            rank = _RANK.get(low[i:j])
+            rank = ranks.get(low[i:j])
             if rank:
                 offer("word", i, j, log10(rank + 1) + (0.3 if value[i:j] != low[i:j] else 0))
-            elif (rank := _RANK.get(plain[i:j])) is not None:
+            elif (rank := ranks.get(plain[i:j])) is not None:
                 offer("word", i, j, log10(rank + 1) + 0.6)
-        if i in dates:
-            offer("date", i, dates[i], {4: 2.1, 6: 3.1, 7: 3.1}.get(dates[i] - i, 4.6))
-        j = i + 1
-        while j < n and value[j] == value[i]:
-            j += 1
-        if j - i >= 3:
-            offer("repeat", i, j, char + log10(j - i))
-        j = i + 1
-        while j < n and (low[j - 1], low[j]) in _NEXT:
-            j += 1
-        if j - i >= 3:
-            offer("walk", i, j, log10(40) + log10(j - i) + 0.3)
+        for pattern, cost in zip(_DATES, _DATE_COST, strict=True):
+            if m := pattern.match(value, i):
+                offer("date", i, m.end(), cost)
+        for kind, end, base in (("repeat", same[i], char), ("walk", walk[i], log10(40) + 0.3)):
+            if i and (same if kind == "repeat" else walk)[i - 1] != end:
+                since[kind] = i
+            if i - since[kind] <= _LONGEST:
+                for j in range(max(i + 3, end - _LONGEST), end + 1):
+                    offer(kind, i, j, base + log10(j - i))
     parts, at = [], n
     while at:
         kind, i = back[at]
@@ -95,7 +112,7 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     return best[n], parts[::-1]
 
 
-def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], float]:
+def scan(text: str | None, ranks: Ranks = _RANK) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], float]:
     """Base spans, all spans (start, kind, end; in order), and the largest guess cost."""
     if not text:
         return [], [], 0.0
@@ -108,19 +125,34 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
             value = m[1].rstrip(".,;:)]}")
             if len(value) < 6:
                 continue
-            cost = guess_cost(value)[0]
+            cost = guess_cost(value, ranks)[0]
             most = max(most, cost)
-            mixed = sum((any(c.isalpha() for c in value), any(c.isdigit() for c in value), any(not c.isalnum() for c in value)))
-            if cost >= MIN_COST and mixed >= 2:
+            if cost >= MIN_COST:
                 more.append((m.start(1), 3, m.start(1) + len(value)))
     return sorted(base), sorted(base + more), most
 
 
-def _digest(texts: list[str | None]) -> list[pa.Array]:
+def corpus_ranks(docs: DataFrame, most: int = CORPUS_WORDS) -> Ranks:
+    """Ranks of words: COMMON, then the `most` words of 3 to 16 Latin letters in the most documents (ties by word).
+
+    Counted over all texts, but not in values of a credential context, and in MIN_DOCS
+    documents at least. Only the `most` words reach the driver.
+    """
+    bare = F.regexp_replace(F.coalesce("text", F.lit("")), CONTEXT.pattern, " ")
+    low = F.translate(F.lower(bare), _NOT_LETTERS, " " * len(_NOT_LETTERS))
+    words = docs.select(F.explode(F.array_distinct(F.split(low, " "))).alias("word")).filter(F.col("word").rlike("^[a-z]{3,16}$"))
+    top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "word").limit(most).collect()
+    ranks = dict(_RANK)
+    for r in top:
+        ranks.setdefault(r["word"], len(ranks) + 1)
+    return ranks
+
+
+def _digest(texts: list[str | None], ranks: Ranks) -> list[pa.Array]:
     n, sha, spans, cost = [], [], [], []
     write = lambda found: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in found)
     for text in texts:
-        base, all_, most = scan(text)
+        base, all_, most = scan(text, ranks)
         n.append([sum(k == kind for _, k, _ in all_) for kind in range(4)])
         sha.append(hashlib.sha256(write(base).encode()).hexdigest())
         spans.append(write(all_))
@@ -136,4 +168,5 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     Only doc_id and text are read.
     """
     schema = "n_assign bigint, n_access bigint, n_hex bigint, n_guess bigint, base_sha256 string, spans string, max_cost double"
-    return map_texts(docs, lambda: _digest, schema)
+    ranks = corpus_ranks(docs)
+    return map_texts(docs, lambda: lambda texts: _digest(texts, ranks), schema)

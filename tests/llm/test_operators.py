@@ -215,36 +215,87 @@ def test_secrets():
     base, spans, _ = scan(text)
     assert [k for _, k, _ in base] == [0, 1, 2]
     assert any(k == 3 and text[a:b] == "Zk9$wQ7!rT2x" for a, k, b in spans) and not any(text[a:b] == "password123" for a, _, b in spans)
+    assert scan("")[:2] == scan(None)[:2] == ([], [])
     cost, parts = guess_cost("password1999aaaaqwerty")
     assert [k for k, *_ in parts] == ["word", "date", "repeat", "word"] and cost < 10
 
 
+def test_guess_cost_is_brute_force():
+    import re as regex
+    from itertools import product
+    from math import log10
+
+    from tallyglass.llm.secrets import COMMON, _alphabet
+
+    rows = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
+    rank = {w: i + 1 for i, w in enumerate(COMMON)}
+
+    def cost(v, i, j):
+        s, low, n = v[i:j], v[i:j].lower(), j - i
+        found = [_alphabet(v) * n]
+        plain = low.translate(str.maketrans("013457@$!", "oieastasi"))
+        if 3 <= n <= 16 and low in rank:
+            found.append(log10(rank[low] + 1) + (0.3 if s != low else 0))
+        elif 3 <= n <= 16 and plain in rank:
+            found.append(log10(rank[plain] + 1) + 0.6)
+        for pattern, c in ((r"(19|20)\d\d", 2.1), (r"(19|20)\d\d[-/.]?(0[1-9]|1[0-2])", 3.1), (r"(19|20)\d\d[-/.]?(0[1-9]|1[0-2])[-/.]?(0[1-9]|[12]\d|3[01])", 4.6)):
+            if regex.fullmatch(pattern, s):
+                found.append(c)
+        if n >= 3 and len(set(s)) == 1:
+            found.append(_alphabet(v) + log10(n))
+        if n >= 3 and all(any(a + b in r or b + a in r for r in rows) for a, b in zip(low, low[1:], strict=False)):
+            found.append(log10(40) + 0.3 + log10(n))
+        return min(found)
+
+    def brute(v):
+        best = [0.0]
+        for j in range(1, len(v) + 1):
+            best.append(min(best[i] + cost(v, i, j) + (0.3 if i else 0) for i in range(j)))
+        return best[-1]
+
+    draw = random.Random(1)
+    parts = ["asdfg", "hello", "qwe", "aaa", "111", "2024", "202401", "20240131", "Pass", "p@ssword", "X", "9", "zxcv", "lo", "test", "ttttt", "67890" * 9, "q" * 50, "wewewe" * 8]
+    for v in ["asdfghello", "aaaabc", "testttt", *map("".join, product("aq1", repeat=5)), *("".join(draw.choices(parts, k=draw.randrange(1, 7))) for _ in range(250))]:
+        got, split = guess_cost(v)
+        assert abs(got - brute(v)) < 1e-9, (v, got, brute(v), split)
+        assert [a for _, a, _ in split[1:]] == [b for *_, b in split[:-1]] and split[-1][2] == len(v)
+    import time
+
+    began = time.time()
+    guess_cost("a" * 200_000), guess_cost("qw" * 100_000)
+    assert time.time() - began < 60
+
+
+def test_ordinary_words_are_no_secrets(spark):
+    texts = [prose(200, k) + " plain ordinary garden words follow" for k in range(3, 9)] + ["pwd: ordinarygarden", "pwd: QwLmZxKvTpRbNsYd", "pwd: QwLmZxKvTpRbNsYd the pin is 839201746553", None, ""]
+    got = scan_secrets(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [r.n_guess for r in got] == [0] * 7 + [1, 2, 0, 0]
+
+
 def test_token_counts_follow_the_tokenizer():
-    sentencepiece = pytest.importorskip("sentencepiece")
-    pieces = {BLANK: -3.0, "a": -2.0, "b": -2.0, "ab": -4.0, BLANK + "a": -2.5, "ba": -3.5, "bab": -5.5}
-    del sentencepiece
-    t = Tokens(pieces, True)
-
-    def brute(s):
-        from functools import cache
-
-        @cache
-        def best(i):  # (score, count) of s[:i], earliest start first
-            out = (0.0, 0) if i == 0 else None
-            for j in range(max(0, i - 4), i):
-                p = pieces.get(s[j:i], t.unknown if i - j == 1 else None)
-                if p is None:
-                    continue
-                sc, n = best(j)
-                n += 1 if s[j:i] in pieces else len(s[j:i].encode())
-                if out is None or sc + p > out[0]:
-                    out = (sc + p, n)
-            return out
-
-        return best(len(s))
-
-    for s in ("ab", "babab", "aé", "bbaab", "abababé"):
-        assert t.best(BLANK + s) == brute(BLANK + s)
+    models = pytest.importorskip("tokenizers.models")
+    draw = random.Random(2)
+    for bytes_ in (False, True):
+        pieces = {BLANK: -3.0, "a": -2.0, "b": -2.0, "ab": -4.0, BLANK + "a": -2.5, "ba": -3.5, "bab": -5.5, "abab": -6.0, "c": -4.0}
+        extra = [(f"<0x{i:02X}>", 0.0) for i in range(256)] if bytes_ else []
+        # Byte pieces are no part of the search: their score must not be the smallest.
+        library = models.Unigram([("<unk>", 0.0), *pieces.items(), *extra], 0, bytes_)
+        t = Tokens(pieces, bytes_)
+        for _ in range(1500):
+            s = BLANK + "".join(draw.choice("aabbbcéé" + BLANK) for _ in range(draw.randrange(1, 14)))
+            assert t.best(s)[1] == len(library.tokenize(s)), s
+
+
+def test_token_counts_of_a_public_vocabulary(spark):
+    models = pytest.importorskip("tokenizers.models")
+    from tallyglass.llm.token_counts import vocabulary
+
+    pieces, bytes_ = vocabulary()
+    assert bytes_
+    library = models.Unigram([("<unk>", 0.0), *pieces.items(), *((f"<0x{i:02X}>", 0.0) for i in range(256))], 0, True)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(60).collect() if r.text]
+    got = [r.n_tokens for r in count_tokens(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [len(library.tokenize(BLANK + t.replace(" ", BLANK))) for t in texts]
 
 
 def test_mix(spark):
