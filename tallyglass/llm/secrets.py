@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, staged
 
 MIN_COST = 8.0
 KINDS = ("assign", "access", "hex", "guess")
@@ -141,7 +141,8 @@ def corpus_ranks(docs: DataFrame, most: int = CORPUS_WORDS) -> Ranks:
     bare = F.regexp_replace(F.coalesce("text", F.lit("")), CONTEXT.pattern, " ")
     low = F.translate(F.lower(bare), _NOT_LETTERS, " " * len(_NOT_LETTERS))
     words = docs.select(F.explode(F.array_distinct(F.split(low, " "))).alias("word")).filter(F.col("word").rlike("^[a-z]{3,16}$"))
-    top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "word").limit(most).collect()
+    ranked = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "word").limit(most)
+    top = staged(ranked, "words").orderBy(F.desc("n"), "word").collect()  # tables first: else each task sends the driver its own
     ranks = dict(_RANK)
     for r in top:
         ranks.setdefault(r["word"], len(ranks) + 1)
