@@ -9,6 +9,9 @@ from ..functions.model import series_key
 from .metrics import first_written
 
 
+SHARDS = 64
+
+
 def keyed(samples: DataFrame) -> DataFrame:
     return samples.withColumn("series_key", series_key(F.col("labels"), F.col("name")))
 
@@ -17,14 +20,17 @@ def admit(samples: DataFrame, max_series: int = 10_000) -> DataFrame:
     """All samples with `status`: kept, series_rejected (cap of new series an epoch) or ood_dropped (not newer).
 
     The cap comes first. Series are ranked by their first arrival over one row per
-    series and epoch. `max_series` 0: no cap.
+    series and epoch: within SHARDS parts first, so that the ranking of an epoch reads
+    `max_series` rows of each part at most. `max_series` 0: no cap.
     """
     rows = keyed(samples)
     if max_series > 0:
-        first = rows.groupBy("epoch", "series_key").agg(F.min("arrival").alias("first"))
-        rank = F.row_number().over(Window.partitionBy("epoch").orderBy("first", "series_key"))
-        known = first.withColumn("known", rank <= max_series).drop("first")
-        rows = rows.join(known, ["epoch", "series_key"])
+        first = rows.groupBy("epoch", "series_key").agg(F.min("arrival").alias("first")).withColumn("shard", F.pmod(F.xxhash64("series_key"), F.lit(SHARDS)))
+        for within in (["epoch", "shard"], ["epoch"]):
+            rank = F.row_number().over(Window.partitionBy(*within).orderBy("first", "series_key"))
+            first = first.withColumn("rank", rank).filter(F.col("rank") <= max_series).drop("rank")
+        known = first.select("epoch", "series_key", F.lit(True).alias("known"))
+        rows = rows.join(known, ["epoch", "series_key"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
     else:
         rows = rows.withColumn("known", F.lit(True))
     before = Window.partitionBy("epoch", "series_key").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)

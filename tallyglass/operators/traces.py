@@ -30,7 +30,9 @@ def directory(spans: DataFrame, mint: int | None = None, maxt: int | None = None
 
     Each source is bounded by itself first; only sources that overlap the window count.
     """
-    per = dedupe(spans).groupBy("epoch", "trace_id").agg(F.min("start").alias("min_start"), F.max("end").alias("max_end"), F.count(F.lit(1)).alias("spans"))
+    # The first written of each span by an aggregate over what is needed: it combines before the exchange, attributes stay out.
+    first = spans.groupBy("trace_id", "span_id").agg(F.min(F.struct("epoch", "arrival", "start", "end")).alias("s")).select("trace_id", "s.*")
+    per = first.groupBy("epoch", "trace_id").agg(F.min("start").alias("min_start"), F.max("end").alias("max_end"), F.count(F.lit(1)).alias("spans"))
     if mint is not None:
         per = per.filter(F.col("max_end") >= mint)
     if maxt is not None:
@@ -47,56 +49,65 @@ def fetch(spans: DataFrame, trace_id: str) -> DataFrame:
     return dedupe(spans.filter(F.col("trace_id") == trace_id)).orderBy("start", "epoch", "arrival")
 
 
-def roots(spans: DataFrame) -> DataFrame:
-    """The root of each trace for summaries: the earliest span without a known parent, else the earliest.
+def roots(rows: DataFrame) -> DataFrame:
+    """Of deduped spans, the root of each trace for summaries, with the trace's number of `spans`.
 
-    A span that names itself as parent has a known parent here.
+    It is the earliest span without a known parent, else the earliest. A span that names
+    itself as parent has a known parent here.
     """
-    rows = dedupe(spans)
     known = rows.select(F.col("trace_id").alias("__t"), F.col("span_id").alias("__p"))
     joined = rows.join(known, (F.col("trace_id") == F.col("__t")) & (F.col("parent_id") == F.col("__p")), "left")
     first = F.coalesce(F.col("parent_id") == "", F.lit(True)) | F.col("__p").isNull()
     order = Window.partitionBy("trace_id").orderBy(F.when(first, 0).otherwise(1), "start", "epoch", "arrival")
-    return joined.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n", "__t", "__p")
+    numbered = joined.withColumn("__n", F.row_number().over(order)).withColumn("spans", F.count(F.lit(1)).over(Window.partitionBy("trace_id")))
+    return numbered.filter("__n = 1").drop("__n", "__t", "__p")
 
 
 def summaries(spans: DataFrame, mint: int | None = None, maxt: int | None = None, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """The newest traces with the name and attributes of their roots. Spans are fetched after the limit."""
     top = newest(directory(spans, mint, maxt), limit)
     chosen = spans.join(F.broadcast(top.select("trace_id")), "trace_id", "left_semi")  # at most MOST rows
-    exact = dedupe(chosen).groupBy("trace_id").agg(F.count(F.lit(1)).alias("spans"))
-    root = roots(chosen).select("trace_id", F.col("name").alias("root"), "attrs")
-    return top.drop("spans").join(exact, "trace_id").join(root, "trace_id").select(
+    root = roots(dedupe(chosen)).select("trace_id", F.col("name").alias("root"), "attrs", "spans")
+    return top.drop("spans").join(root, "trace_id").select(
         "trace_id", "root", F.col("min_start").alias("start"), F.col("max_end").alias("end"), duration_ms(F.col("min_start"), F.col("max_end")).alias("duration_ms"), "spans", "attrs"
     )
 
 
-def tree(spans: DataFrame, max_depth: int = 100) -> DataFrame:
+def tree(spans: DataFrame) -> DataFrame:
     """Waterfall rows: trace_id, span_id, parent_id, root_id, depth, path, duration_ms.
 
-    Orphans and self-parented spans are roots; spans on a parent cycle do not appear.
-    `path` sorts siblings by start and arrival. Levels are joined one by one, each with
-    the spans below it, and end with the deepest one.
+    Orphans and self-parented spans are roots; spans on a parent cycle, and below one, do
+    not appear. `path` sorts siblings by start and arrival. Spans point to ancestors and
+    jump along their pointers, so the rounds grow with the logarithm of the depth. A
+    round that brings no span to its root ends it: what is left hangs on cycles.
     """
-    from ..sources.shared import staged
+    from ..sources.shared import discard, staged
 
     rows = staged(dedupe(spans).select("trace_id", "span_id", "parent_id", "name", "start", "end", "epoch", "arrival"), "spans")
-    step = lambda: F.struct("start", "epoch", "arrival", "span_id")
     known = rows.select(F.col("trace_id").alias("__t"), F.col("span_id").alias("__p"))
     has = rows.join(known, (F.col("trace_id") == F.col("__t")) & (F.col("parent_id") == F.col("__p")) & (F.col("parent_id") != F.col("span_id")), "left")
-    level = staged(has.filter("__p is null").drop("__t", "__p").withColumn("root_id", F.col("span_id")).withColumn("depth", F.lit(0)).withColumn("path", F.array(step())), "level")
-    below = rows.filter("parent_id <> span_id")
-    out = level
-    for depth in range(1, max_depth + 1):
-        up = level.select(F.col("trace_id").alias("__t"), F.col("span_id").alias("__p"), "root_id", F.col("path").alias("__path"))
-        level = staged(
-            below.join(up, (F.col("trace_id") == F.col("__t")) & (F.col("parent_id") == F.col("__p")))
-            .withColumn("depth", F.lit(depth)).withColumn("path", F.concat("__path", F.array(step()))).drop("__t", "__p", "__path"),
-            "level",
+    root = F.col("__p").isNull()
+    step = F.array(F.struct("start", "epoch", "arrival", "span_id"))
+    ends = staged(
+        has.select("trace_id", "span_id", F.when(root, F.col("span_id")).otherwise(F.col("parent_id")).alias("up"), F.when(root, 0).otherwise(1).alias("depth"), step.alias("path"), root.alias("done")), "pointers"
+    )
+    found, todo = [ends], ends.filter("not done")
+    done = ends.filter("done")
+    while True:
+        state = done.unionByName(todo)
+        at = state.select(F.col("trace_id").alias("__t"), F.col("span_id").alias("__s"), F.col("up").alias("__up"), F.col("depth").alias("__depth"), F.col("path").alias("__path"), F.col("done").alias("__done"))
+        moved = staged(
+            todo.join(at, (F.col("trace_id") == F.col("__t")) & (F.col("up") == F.col("__s")))
+            .select("trace_id", "span_id", F.col("__up").alias("up"), (F.col("depth") + F.col("__depth")).alias("depth"), F.concat("__path", "path").alias("path"), F.col("__done").alias("done")),
+            "pointers",
         )
-        if level.isEmpty():
+        home = moved.filter("done")
+        if home.isEmpty():
+            discard(moved)
             break
-        out = out.unionByName(level)
+        done, todo = done.unionByName(home), moved.filter("not done")
+        found.append(moved)
+    out = rows.join(done.drop("done").withColumnRenamed("up", "root_id"), ["trace_id", "span_id"])
     return out.withColumn("duration_ms", duration_ms(F.col("start"), F.col("end")))
 
 

@@ -76,9 +76,9 @@ def queries() -> dict[str, Query]:
     q["lookback"] = _range("events_value", "gauge", lookback_ms=6 * HOUR)
     q["instant"] = lambda s, d: _round(Engine(tables.gauge(s, d), 48 * HOUR).instant('events_value{u="3"}', START + 10 * DAY))
     q["match_equal_unequal"] = _range('sum by (event_type) (count_over_time(events_value{u!="3",event_type!=""}[12h]))', "gauge")
-    q["match_absent_empty"] = _range('count(events_value{nothing=""})', "gauge")
+    q["match_absent_empty"] = lambda s, d: _round(Engine(_zoned(s, d), 12 * HOUR).range('count by (u) (events_value{zone=""})', START, END, 6 * HOUR))
     q["select_raw"] = lambda s, d: _round(metrics.select(tables.gauge(s, d), "events_value", (Matcher("u", "3"),), START, START + 5 * DAY))
-    q["spend_by_group"] = _range("sum by (u) (increase(events_total[1h]))", "counter", step=HOUR, end=START + 5 * DAY)
+    q["spend_by_group"] = _range("sum by (u) (increase(events_total[1h]))", "counter", step=HOUR)
     q["hit_rate"] = lambda s, d: metrics.hit_rate(Engine(_cache_counter(s, d)).range("sum by (cache) (rate(requests_total[6h]))", START, END, 6 * HOUR)).select("t", F.round("v", 6).alias("v"))
     q["admission"] = lambda s, d: storage.admit(_ordered_gauge(s, d), 12).groupBy("epoch", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("sum_t"))
     q["compaction"] = lambda s, d: _round(storage.compact(tables.gauge(s, d, 1).withColumn("t", F.floor(F.col("t") / DAY) * DAY), START + 3 * DAY))
@@ -100,12 +100,19 @@ def queries() -> dict[str, Query]:
     q["histogram_quantiles"] = lambda s, d: histogram.quantiles(histogram.histogram(tables.events(s, d).withColumn("x", F.floor(F.abs("value") * 1000).cast("long")), "x", ["event_type"]), [0.5, 0.9, 0.99], ["event_type"])
     q["time_bits"] = lambda s, d: storage.keyed(tables.gauge(s, d)).select("series_key", "t", gorilla.time_bits().alias("bits")).groupBy(F.col("series_key").alias("series")).agg(F.sum("bits").cast("long").alias("bits"))
     q["compression_report"] = lambda s, d: gorilla.report(storage.keyed(tables.gauge(s, d)))
-    q["budget"] = lambda s, d: traffic.run_budget(_requests(s, d).select("tenant", "t", "arrival", "estimate", "used"), 600)
+    q["budget"] = lambda s, d: traffic.run_budget(_requests(s, d).select("tenant", "t", "arrival", "estimate", "used"), 600).withColumn("available", F.round("available", 6))
     q["response_cache"] = lambda s, d: traffic.run_cache(_requests(s, d).select("cache", "key", "t", "arrival", "tokens"), 64, 6 * HOUR)
     q["breaker"] = lambda s, d: traffic.run_breaker(_requests(s, d).select(F.col("event_type").alias("provider"), "t", "arrival", "ok"), 2, HOUR)
     return q
 
 
+def _zoned(s: SparkSession, d: str) -> DataFrame:
+    """The gauge, whose group 1 has an empty label `zone`, group 2 a full one, and the others none."""
+    zone = F.when(F.col("labels")["u"] == "1", "").when(F.col("labels")["u"] == "2", "a")
+    put = F.map_concat("labels", F.create_map(F.lit("zone"), zone))
+    return tables.gauge(s, d).withColumn("labels", F.when(zone.isNull(), F.col("labels")).otherwise(put))
+
+
 def _cache_counter(s: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -170,9 +177,9 @@ def oracle_sql() -> dict[str, str]:
     at = START + 10 * DAY
     sql["instant"] = f"{_GAUGE} SELECT concat('events_value', {_KEY}) AS series, CAST({at} AS BIGINT) AS t, round(arg_max(v, t), 6) AS v FROM s WHERE u = '3' AND t >= {at - 48 * HOUR} AND t <= {at} GROUP BY event_type, u"
     sql["match_equal_unequal"] = f"{_window_sql('count_over_time', 12 * HOUR, h, where="u <> '3'")} SELECT {_BY_TYPE}, g AS t, round(sum(v), 6) AS v FROM f GROUP BY event_type, g"
-    sql["match_absent_empty"] = "SELECT '' AS series, CAST(0 AS BIGINT) AS t, CAST(0 AS DOUBLE) AS v WHERE false"
+    sql["match_absent_empty"] = f"{back} SELECT concat('{{u=\"', u, '\"}}') AS series, g AS t, CAST(count(*) AS DOUBLE) AS v FROM f WHERE u = '1' GROUP BY u, g"
     sql["select_raw"] = f"{_GAUGE} SELECT concat('events_value', {_KEY}) AS series, t, round(v, 6) AS v FROM s WHERE u = '3' AND t BETWEEN {START} AND {START + 5 * DAY}"
-    sql["spend_by_group"] = f"{_window_sql('increase', HOUR, HOUR, START + 5 * DAY)} SELECT concat('{{u=\"', u, '\"}}') AS series, g AS t, round(sum(v), 6) AS v FROM f GROUP BY u, g"
+    sql["spend_by_group"] = f"{_window_sql('increase', HOUR, HOUR)} SELECT concat('{{u=\"', u, '\"}}') AS series, g AS t, round(sum(v), 6) AS v FROM f GROUP BY u, g"
     sql["hit_rate"] = f"""WITH e AS (SELECT event_id, epoch_us(ts) // 1000 AS t, CASE WHEN event_id % 3 = 0 THEN 'hit' ELSE 'miss' END AS c FROM events),
         n AS (SELECT c, t, row_number() OVER (PARTITION BY c ORDER BY event_id) AS v, row_number() OVER (PARTITION BY c, t ORDER BY event_id % 3, event_id) AS k FROM e), s AS (SELECT c, t, v FROM n WHERE k = 1), {_grid(h)},
         r AS (SELECT c, g, (max(v) - min(v)) / ((max(t) - min(t)) / 1000.0) AS v FROM g JOIN s ON t > g - {h} AND t <= g GROUP BY ALL HAVING count(*) > 1),
@@ -204,6 +211,22 @@ def oracle_sql() -> dict[str, str]:
     sql["waterfall"] = f"""{_SPANS}, b AS (SELECT *, min(start) OVER w AS t0, greatest(1, max("end") OVER w - min(start) OVER w) AS total FROM spans WINDOW w AS (PARTITION BY trace_id))
         SELECT trace_id, span_id, round((start - t0) / total * 100, 6) AS left_pct, round(greatest(("end" - start) / total * 100, 0.4), 6) AS width_pct FROM b"""
     sql["token_estimates"] = "SELECT conv_id, CAST(sum(strlen(coalesce(text, '')) // 4 + 4) AS BIGINT) AS prompt_tokens, CAST(sum(strlen(coalesce(text, '')) // 4 + 4) AS BIGINT) + CASE WHEN conv_id % 2 = 0 THEN 50 ELSE 256 END AS estimate FROM conversations GROUP BY conv_id"
+    field = lambda x: f"printf('%08X', strlen({x})) || hex({x})"
+    head = "00000004" + b"acme".hex() + "00000002" + b"m1".hex() + "00000001" + b"0".hex() + "00000008" + b"\0default".hex()
+    sql["cache_keys"] = f"SELECT conv_id, sha256(unhex('{head}' || string_agg({field('role')} || {field("coalesce(text, '')")}, '' ORDER BY turn))) AS cache_key FROM conversations GROUP BY conv_id"
+    steps = """WITH RECURSIVE r AS (SELECT CAST(((user_id % 5) + 5) % 5 AS VARCHAR) AS tenant, event_type AS provider, epoch_us(ts) // 1000 AS t, event_id AS arrival, floor(abs(value)) AS want, floor(abs(value) / 2) AS used, event_id % 3 <> 0 AS ok FROM events)"""
+    sql["budget"] = f"""{steps}, e AS (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY t, arrival) AS k FROM r), s AS (
+        SELECT tenant, CAST(0 AS BIGINT) AS k, min(t) AS t, CAST(0 AS BIGINT) AS arrival, '' AS outcome, CAST(0 AS BIGINT) AS retry_after, CAST(600 AS DOUBLE) AS available FROM e GROUP BY tenant
+        UNION ALL SELECT tenant, k, t, arrival, CASE WHEN want > 600 THEN 'over_capacity' WHEN want > a THEN 'exhausted' ELSE 'admitted' END,
+            CASE WHEN want > 600 OR want <= a THEN 0 ELSE CAST(greatest(1, ceil((want - a) / 10.0)) AS BIGINT) END, CASE WHEN want > 600 OR want > a THEN a ELSE least(600, a - want + want - used) END
+        FROM (SELECT e.*, least(600, s.available + (e.t - s.t) / 1000.0 * 10.0) AS a FROM s JOIN e ON e.tenant = s.tenant AND e.k = s.k + 1))
+        SELECT tenant, t, arrival, outcome, retry_after, round(available, 6) AS available FROM s WHERE k > 0"""
+    sql["breaker"] = f"""{steps}, e AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY t, arrival) AS k FROM r), s AS (
+        SELECT DISTINCT provider, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS arrival, false AS allowed, 'closed' AS state, 0 AS failures, CAST(0 AS BIGINT) AS since FROM e
+        UNION ALL SELECT provider, k, t, arrival, pass, CASE WHEN NOT pass THEN was WHEN ok THEN 'closed' WHEN was <> 'closed' OR failures + 1 >= 2 THEN 'open' ELSE 'closed' END,
+            CASE WHEN NOT pass THEN failures WHEN ok OR was <> 'closed' OR failures + 1 >= 2 THEN 0 ELSE failures + 1 END, CASE WHEN pass AND (was <> 'closed' OR (NOT ok AND failures + 1 >= 2)) THEN t ELSE since END
+        FROM (SELECT e.*, s.state AS was, s.failures, s.since, s.state = 'closed' OR e.t - s.since >= {HOUR} AS pass FROM s JOIN e ON e.provider = s.provider AND e.k = s.k + 1))
+        SELECT provider, t, arrival, allowed, state FROM s WHERE k > 0"""
     sql["cumulative_counter"] = "SELECT event_id, round(sum(value) OVER (PARTITION BY event_type, ((user_id % 10) + 10) % 10 ORDER BY event_id), 4) AS total FROM events"
     sql["cost"] = "SELECT event_type, round(sum(floor(abs(value)) * 400.0 / 1e6), 6) AS cost FROM events GROUP BY 1"
     sql["histogram"] = f"{_X} SELECT idx, count(*) AS n FROM i GROUP BY 1"

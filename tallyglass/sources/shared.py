@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -23,7 +24,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may be gone already
+        pass
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/tallyglass-{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """`df` written as Parquet and read again; the table goes when Python ends, or by `discard`."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tallyglass-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{tag}")
+    atexit.register(_delete, spark, path)
+    table = spark.read.schema(df.schema).parquet(f"{path}/{tag}")
+    table._staged_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    for table in tables:
+        _delete(table.sparkSession, table._staged_at)
