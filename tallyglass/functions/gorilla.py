@@ -136,6 +136,12 @@ def report(series: DataFrame, key: str = "series_key") -> DataFrame:
     return encoded(series, key).select(key, "samples", (F.col("samples") * 16).alias("raw_bytes"), b.alias("encoded_bytes"), (b / F.col("samples")).alias("bytes_per_sample"), (F.col("samples") * 16 / b).alias("ratio"))
 
 
+def total(reported: DataFrame) -> DataFrame:
+    """One row for all series of a `report`."""
+    raw, small = F.sum("raw_bytes"), F.sum("encoded_bytes")
+    return reported.agg(F.sum("samples").alias("samples"), raw.alias("raw_bytes"), small.alias("encoded_bytes"), (small / F.sum("samples")).alias("bytes_per_sample"), (raw / small).alias("ratio"))
+
+
 def time_bits(key: str = "series_key", t: str = "t") -> Column:
     """Bits that the codec spends on each timestamp, as a window expression."""
     w = Window.partitionBy(key).orderBy(t)

@@ -111,6 +111,12 @@ def tree(spans: DataFrame) -> DataFrame:
     return out.withColumn("duration_ms", duration_ms(F.col("start"), F.col("end")))
 
 
+def scoreboard(spans: DataFrame) -> DataFrame:
+    """Traces and spans of each source."""
+    first = spans.groupBy("epoch", "trace_id").agg(F.countDistinct("span_id").alias("n"))
+    return first.groupBy("epoch").agg(F.count(F.lit(1)).alias("traces"), F.sum("n").alias("spans"))
+
+
 def sample(spans: DataFrame, ratio: float) -> DataFrame:
     return spans.filter(sampled(F.col("trace_id"), ratio))
 

@@ -32,6 +32,57 @@ def actual_tokens(usage_total: Column, contents: Column, answer: Column) -> Colu
     return F.coalesce(usage_total.cast("long"), prompt_tokens(contents) + F.floor(bytes_of(answer) / 4))
 
 
+def saved_tokens(usage_total: Column, answer: Column) -> Column:
+    """What a cached answer saves: its reported usage, else the metered answer."""
+    return F.coalesce(usage_total.cast("long"), F.floor(bytes_of(answer) / 4))
+
+
+def cacheable(temperature: Column) -> Column:
+    """Only requests that ask for temperature 0 in so many words."""
+    return F.coalesce(temperature == 0, F.lit(False))
+
+
+def finish_reason(reason: Column) -> Column:
+    return F.when(reason == "length", "length").otherwise("stop")
+
+
+def usage_total(lines: Column) -> Column:
+    """Prompt and answer tokens that a stream's closing line reports; null for a truncated stream.
+
+    `lines`: array of structs with done, prompt_eval_count and eval_count.
+    """
+    last = F.filter(lines, lambda x: F.coalesce(x["done"], F.lit(False)))
+    return F.when(F.size(last) > 0, F.coalesce(last[0]["prompt_eval_count"], F.lit(0)) + F.coalesce(last[0]["eval_count"], F.lit(0))).cast("long")
+
+
+def counter_key(name: Column, labels: Column) -> Column:
+    """Identity of a counter: its name and, by label, NUL, label, = and value."""
+    pairs = F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.concat(F.lit("\0"), e["key"], F.lit("="), e["value"]))
+    return F.concat(name, F.array_join(pairs, ""))
+
+
+def nice_ceil(x: Column) -> Column:
+    """The next 1, 2 or 5 times a power of ten from `x` on; 1 where it is not positive."""
+    power = F.pow(F.lit(10.0), F.floor(F.log10(x)))
+    step = F.when(x <= power, power).when(x <= 2 * power, 2 * power).when(x <= 5 * power, 5 * power).otherwise(10 * power)
+    return F.when(x > 0, step).otherwise(F.lit(1.0))
+
+
+def parse_tenants(spec: str) -> list[tuple[str, str, int]]:
+    """(name, key, tokens a minute) of `name:key:tpm,...`; none for a blank specification."""
+    found: list[tuple[str, str, int]] = []
+    for entry in spec.split(",") if spec.strip() else []:
+        fields = [f.strip() for f in entry.strip().split(":")]
+        if len(fields) != 3 or not fields[0] or not fields[1]:
+            raise ValueError(f"a tenant is name:key:tokens-per-minute, not {entry!r}")
+        if not fields[2].removeprefix("+").isdecimal() or int(fields[2]) <= 0:
+            raise ValueError(f"tokens per minute must be a positive integer in {entry!r}")
+        if any(key == fields[1] for _, key, _ in found):
+            raise ValueError(f"the key of {entry!r} is another tenant's")
+        found.append((fields[0], fields[1], int(fields[2])))
+    return found
+
+
 def cost_usd(tokens: Column, price_per_million: float) -> Column:
     return tokens * F.lit(price_per_million) / F.lit(1e6)
 
@@ -194,6 +245,76 @@ def run_breaker(calls: DataFrame, threshold: int = 3, cooldown_ms: int = 10_000)
     return calls.groupBy("provider").applyInPandas(one, "provider string, t bigint, arrival bigint, allowed boolean, state string")
 
 
+def cache_counters(outcomes: DataFrame) -> DataFrame:
+    """Of `run_cache`: hits, misses and tokens saved of each cache."""
+    return outcomes.groupBy("cache").agg(F.count_if(F.col("cached") == "hit").alias("hits"), F.count_if(F.col("cached") == "miss").alias("misses"), F.sum("saved").alias("tokens_saved"))
+
+
+def run_reservations(events: DataFrame, per_minute: int) -> DataFrame:
+    """A budget with open reservations, over events (tenant, request, kind, t, arrival, tokens).
+
+    A `reserve` asks for tokens; a `settle` later says how many were used, counts once,
+    and only for an admitted request. Every event returns with outcome (that of the
+    reservation; settled or ignored), retry_after and what is available after it.
+    """
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["t", "arrival"])
+        b, held, out = Budget(per_minute, int(rows["t"].iloc[0])), {}, []
+        for request, kind, t, tokens in zip(rows["request"], rows["kind"], rows["t"], rows["tokens"], strict=True):
+            wait = 0
+            if kind == "reserve":
+                outcome, wait = b.reserve(tokens, t)
+                if outcome == "admitted":
+                    held[request] = tokens
+            elif request in held:
+                b.settle(held.pop(request), tokens, t)
+                outcome = "settled"
+            else:
+                outcome = "ignored"
+            out.append((outcome, wait, b.available))
+        return rows[["tenant", "request", "kind", "t", "arrival"]].assign(outcome=[o[0] for o in out], retry_after=[o[1] for o in out], available=[o[2] for o in out])
+
+    return events.groupBy("tenant").applyInPandas(one, "tenant string, request bigint, kind string, t bigint, arrival bigint, outcome string, retry_after bigint, available double")
+
+
+def run_router(requests: DataFrame, providers: tuple[str, ...], threshold: int = 3, cooldown_ms: int = 10_000) -> DataFrame:
+    """Failover over a chain of providers, whose breakers live requests and probes drive.
+
+    Requests (pool, t, arrival, good, probe, cancelled): `good` maps a provider to
+    whether it would answer. Each request tries the providers in order, those whose
+    breaker lets it; a failure goes on to the next one, a cancelled request reports
+    nothing. A row that names a `probe` only asks that provider, and only while its
+    breaker is not closed: it is the trial then. Returns (pool, t, arrival, provider that
+    answered or null, attempts, states). A pool has breakers of its own; it is one group.
+    """
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["t", "arrival"])
+        breakers, out = {p: Breaker(threshold, cooldown_ms) for p in providers}, []
+        for t, good, probe, cancelled in zip(rows["t"], rows["good"], rows["probe"], rows["cancelled"], strict=True):
+            good, served, attempts = dict(good), None, 0
+            if probe is not None and probe == probe:
+                b = breakers[probe]
+                if b.state != "closed" and b.allow(t):
+                    b.report(bool(good.get(probe)), t)
+            else:
+                for p in providers:
+                    if not breakers[p].allow(t):
+                        continue
+                    attempts += 1
+                    if cancelled:
+                        break
+                    breakers[p].report(bool(good.get(p)), t)
+                    if good.get(p):
+                        served = p
+                        break
+            out.append((served, attempts, ",".join(breakers[p].state for p in providers)))
+        return rows[["pool", "t", "arrival"]].assign(provider=[o[0] for o in out], attempts=[o[1] for o in out], states=[o[2] for o in out])
+
+    return requests.groupBy("pool").applyInPandas(one, "pool string, t bigint, arrival bigint, provider string, attempts bigint, states string")
+
+
 def route(attempts: DataFrame) -> DataFrame:
     """The first allowed and successful provider of each request (request, place, provider, allowed, ok)."""
     good = attempts.filter("allowed and ok")

@@ -60,6 +60,44 @@ def _requests(s: SparkSession, d: str) -> DataFrame:
     return e.select(F.pmod("user_id", F.lit(5)).cast("string").alias("tenant"), "t", F.col("event_id").alias("arrival"), F.floor(F.abs("value")).cast("double").alias("estimate"), F.floor(F.abs("value") / 2).cast("double").alias("used"), F.col("user_id").cast("string").alias("key"), F.floor(F.abs("value")).cast("long").alias("tokens"), F.concat(F.lit("c"), F.pmod("user_id", F.lit(4)).cast("string")).alias("cache"), "event_type", (F.pmod("event_id", F.lit(3)) != 0).alias("ok"))
 
 
+def _status(s: SparkSession, d: str) -> DataFrame:
+    rows = _requests(s, d).select("tenant", "t", "arrival", "estimate", "used")
+    outcomes = traffic.run_budget(rows, 600)
+    charged = outcomes.filter("outcome = 'admitted'").join(rows, ["tenant", "t", "arrival"]).groupBy("tenant").agg(F.sum("used").cast("long").alias("charged"))
+    return traffic.tenant_status(outcomes, charged, 600)
+
+
+def _small(s: SparkSession, d: str) -> DataFrame:
+    e = tables.events(s, d)
+    labels = F.create_map(F.lit("u"), F.pmod("user_id", F.lit(10)).cast("string"), F.lit("event_type"), F.col("event_type"))
+    n = F.col("event_id")
+    return e.select(
+        "event_id", traffic.counter_key(F.lit("n"), labels).alias("counter_key"), traffic.nice_ceil(F.col("value")).alias("ceiling"),
+        traffic.cacheable(F.when(n % 3 == 0, F.lit(0.0)).when(n % 3 == 1, F.lit(0.7))).alias("cacheable"),
+        traffic.finish_reason(F.when(n % 2 == 0, F.col("event_type")).when(n % 3 == 0, "length")).alias("finish"),
+        traffic.saved_tokens(F.when(n % 2 == 0, n), F.col("event_type")).alias("saved"),
+    )
+
+
+def _reservations(s: SparkSession, d: str) -> DataFrame:
+    """A reservation for each event, and its settlement up to some minutes later, for some twice or never."""
+    r = _requests(s, d).select("tenant", F.col("arrival").alias("request"), "t", "estimate", "used")
+    asks = r.select("tenant", "request", F.lit("reserve").alias("kind"), "t", (F.col("request") * 4).alias("arrival"), F.col("estimate").alias("tokens"))
+    ends = r.select("tenant", "request", F.lit("settle").alias("kind"), (F.col("t") + F.pmod("request", F.lit(5)) * 60_000).alias("t"), (F.col("request") * 4 + 1).alias("arrival"), F.col("used").alias("tokens"))
+    again = ends.filter("request % 7 = 0").withColumn("arrival", F.col("arrival") + 1)
+    return asks.unionByName(ends.filter("request % 11 <> 0")).unionByName(again)
+
+
+def _failover(s: SparkSession, d: str) -> DataFrame:
+    n = F.col("event_id")
+    good = F.create_map(F.lit("a"), n % 3 != 0, F.lit("b"), n % 5 != 0)
+    rows = tables.events(s, d).select(
+        F.pmod("user_id", F.lit(10)).cast("string").alias("pool"), "t", n.alias("arrival"), good.alias("good"),
+        F.when(n % 6 == 0, "a").alias("probe"), (n % 13 == 0).alias("cancelled"),
+    )
+    return traffic.run_router(rows, ("a", "b"), 2, HOUR)
+
+
 def queries() -> dict[str, Query]:
     w6, q = f"[{6}h]", {}
     q[FLAGSHIP] = _range(f"sum by (event_type) (rate(events_total{w6}))", "counter", step=HOUR)
@@ -101,6 +139,15 @@ def queries() -> dict[str, Query]:
     q["time_bits"] = lambda s, d: storage.keyed(tables.gauge(s, d)).select("series_key", "t", gorilla.time_bits().alias("bits")).groupBy(F.col("series_key").alias("series")).agg(F.sum("bits").cast("long").alias("bits"))
     q["compression_report"] = lambda s, d: gorilla.report(storage.keyed(tables.gauge(s, d)))
     q["budget"] = lambda s, d: traffic.run_budget(_requests(s, d).select("tenant", "t", "arrival", "estimate", "used"), 600).withColumn("available", F.round("available", 6))
+    q["tenant_status"] = _status
+    q["trace_scoreboard"] = _spans(traces.scoreboard)
+    q["trace_window"] = _spans(lambda t: traces.directory(t, 788_918_400_000_000_000, 820_454_400_000_000_000))
+    q["query_range"] = lambda s, d: _round(Engine(tables.gauge(s, d)).query_range("avg by (event_type) (avg_over_time(events_value[15m]))", START + DAY + 12_345, START + 2 * DAY, "15m"))
+    q["small_functions"] = _small
+    q["cache_counters"] = lambda s, d: traffic.cache_counters(q["response_cache"](s, d))
+    q["reservations"] = lambda s, d: traffic.run_reservations(_reservations(s, d), 600).withColumn("available", F.round("available", 6))
+    q["failover"] = _failover
+    q["compression_total"] = lambda s, d: gorilla.total(q["compression_report"](s, d))
     q["response_cache"] = lambda s, d: traffic.run_cache(_requests(s, d).select("cache", "key", "t", "arrival", "tokens"), 64, 6 * HOUR)
     q["breaker"] = lambda s, d: traffic.run_breaker(_requests(s, d).select(F.col("event_type").alias("provider"), "t", "arrival", "ok"), 2, HOUR)
     return q
@@ -221,6 +268,19 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN want > 600 OR want <= a THEN 0 ELSE CAST(greatest(1, ceil((want - a) / 10.0)) AS BIGINT) END, CASE WHEN want > 600 OR want > a THEN a ELSE least(600, a - want + want - used) END
         FROM (SELECT e.*, least(600, s.available + (e.t - s.t) / 1000.0 * 10.0) AS a FROM s JOIN e ON e.tenant = s.tenant AND e.k = s.k + 1))
         SELECT tenant, t, arrival, outcome, retry_after, round(available, 6) AS available FROM s WHERE k > 0"""
+    sql["tenant_status"] = sql["budget"].split("SELECT tenant, t, arrival, outcome, retry_after, round")[0].replace("AS retry_after, CAST(600 AS DOUBLE) AS available", "AS retry_after, CAST(600 AS DOUBLE) AS available, CAST(0 AS DOUBLE) AS spent").replace(
+        "ELSE least(600, a - want + want - used) END", "ELSE least(600, a - want + want - used) END, used"
+    ) + """SELECT tenant, CAST(floor(arg_max(available, k)) AS BIGINT) AS available, 600 AS capacity, count(*) FILTER (outcome = 'admitted') AS admitted, count(*) FILTER (outcome <> 'admitted') AS rejected,
+        CAST(sum(spent) FILTER (outcome = 'admitted') AS BIGINT) AS charged FROM s WHERE k > 0 GROUP BY tenant"""
+    sql["trace_scoreboard"] = f"{_SPANS}, p AS (SELECT epoch, trace_id, count(DISTINCT span_id) AS n FROM raw GROUP BY ALL) SELECT epoch, count(*) AS traces, CAST(sum(n) AS BIGINT) AS spans FROM p GROUP BY 1"
+    sql["trace_window"] = f"""{_SPANS}, per AS (SELECT epoch, trace_id, min(start) AS a, max("end") AS b, count(*) AS n FROM spans GROUP BY ALL HAVING max("end") >= 788918400000000000 AND min(start) <= 820454400000000000)
+        SELECT trace_id, min(a) AS min_start, max(b) AS max_end, max(n) AS spans FROM per GROUP BY 1"""
+    sql["query_range"] = f"""{_GAUGE}, g AS (SELECT unnest(range({START + DAY}, {START + 2 * DAY} + 1, 900000)) AS g), f AS (SELECT event_type, u, g, avg(v) AS v FROM g JOIN s ON t > g - 900000 AND t <= g GROUP BY ALL)
+        SELECT {_BY_TYPE}, g AS t, round(avg(v), 6) AS v FROM f GROUP BY event_type, g"""
+    sql["small_functions"] = """WITH e AS (SELECT *, pow(10, floor(log10(CASE WHEN value > 0 THEN value ELSE 1 END))) AS p FROM events)
+        SELECT event_id, 'n' || chr(0) || 'event_type=' || event_type || chr(0) || 'u=' || CAST(((user_id % 10) + 10) % 10 AS VARCHAR) AS counter_key,
+            CASE WHEN value > 0 THEN CASE WHEN value <= p THEN p WHEN value <= 2 * p THEN 2 * p WHEN value <= 5 * p THEN 5 * p ELSE 10 * p END ELSE 1.0 END AS ceiling, event_id % 3 = 0 AS cacheable,
+            CASE WHEN event_id % 2 <> 0 AND event_id % 3 = 0 THEN 'length' ELSE 'stop' END AS finish, CASE WHEN event_id % 2 = 0 THEN event_id ELSE strlen(event_type) // 4 END AS saved FROM e"""
     sql["breaker"] = f"""{steps}, e AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY t, arrival) AS k FROM r), s AS (
         SELECT DISTINCT provider, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS arrival, false AS allowed, 'closed' AS state, 0 AS failures, CAST(0 AS BIGINT) AS since FROM e
         UNION ALL SELECT provider, k, t, arrival, pass, CASE WHEN NOT pass THEN was WHEN ok THEN 'closed' WHEN was <> 'closed' OR failures + 1 >= 2 THEN 'open' ELSE 'closed' END,
