@@ -16,10 +16,11 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, drop_rows, in_arrow, map_texts, release, settled, staged
+from .common import by_bytes, discard, drop_rows, in_arrow, map_texts, release, settled, staged
 from .components import components
 from .hashing import U, mix, word_grams, word_hashes
 
@@ -31,8 +32,8 @@ BAND = 5
 SMALL = 16
 #: Large buckets that stay mixed are split so often, each time in so many ways.
 DEPTHS, SPLITS = 2, 2
-#: What is mixed even then is compared in full, in blocks of about so many signatures on each side.
-BLOCK = 2048
+#: What is mixed even then is compared in full, in blocks of about so many signatures and bytes of text on each side.
+BLOCK, BLOCK_BYTES = 2048, 1 << 22
 #: Agreement of signatures below / above which a pair is settled without its shingles.
 SURE = (0.64, 0.94)
 
@@ -192,10 +193,35 @@ def _finer(buckets: DataFrame, sigs: DataFrame, comp: DataFrame, small: int, dep
     return staged(apart, "finer")
 
 
-def _block(rows: pa.Table) -> pa.Table:
-    """The pairs of a block, between components, that their signatures do not rule out."""
-    rep, comp, left, apart = (rows.column(c).to_numpy() for c in ("rep", "comp", "left", "apart"))
+def _shared(left: np.ndarray, right: np.ndarray, texts: pa.ChunkedArray) -> np.ndarray:
+    """Weighted Jaccard similarity of the texts at places left[i] and right[i]; equal left ones stand together."""
+    need = np.unique(np.concatenate([left, right]))
+    found, sizes = [], []
+    for batch in pa.table({"text": texts.take(pa.array(need))}).to_batches():
+        for part in by_bytes(batch, 0):
+            element, owner = units(*shingles(part.column(0).to_pylist()))
+            found.append(element)
+            sizes.append(np.bincount(owner, minlength=part.num_rows))
+    ids = np.unique(np.concatenate(found), return_inverse=True)[1]
+    size = np.concatenate(sizes)
+    start = np.cumsum(size) - size
+    mark = np.zeros(len(ids), bool)
+    x, y, both = np.searchsorted(need, left), np.searchsorted(need, right), np.zeros(len(left))
+    cuts = [0, *(np.flatnonzero(np.diff(left)) + 1).tolist(), len(left)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        own, others = ids[start[x[lo]] : start[x[lo]] + size[x[lo]]], y[lo:hi]
+        before = np.cumsum(size[others]) - size[others]
+        mark[own] = True
+        both[lo:hi] = np.add.reduceat(mark[ids[np.repeat(start[others] - before, size[others]) + np.arange(size[others].sum())]].astype(int), before)
+        mark[own] = False
+    return both / (size[x] + size[y] - both)
+
+
+def _block(rows: pa.Table, threshold: float) -> pa.Table:
+    """The links of a block between components: pairs that first meet in this bucket and reach the threshold."""
+    rep, comp, key, left, apart = (rows.column(c).to_numpy() for c in ("rep", "comp", "key", "left", "apart"))
     sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(len(rep), -1)
+    bands = pc.list_flatten(rows.column("bands")).to_numpy().reshape(len(rep), -1)
     x, y = np.flatnonzero(left), np.flatnonzero(~left)
     a, b, est = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     right = np.ascontiguousarray(sig[y])
@@ -204,34 +230,46 @@ def _block(rows: pa.Table) -> pa.Table:
         meets = (comp[y] != comp[i]) & (~apart[y] | (rep[y] > rep[i]))
         share = (right == sig[i]).mean(1)
         hit = np.flatnonzero(meets & (share >= SURE[0]))
-        a.append(np.minimum(rep[i], rep[y[hit]]))
-        b.append(np.maximum(rep[i], rep[y[hit]]))
+        # In an earlier band that they share, they were compared or were of one component.
+        hit = hit[bands[i][(bands[y[hit]] == bands[i]).argmax(1)] == key[i]]
+        a.append(np.full(len(hit), i))
+        b.append(y[hit])
         est.append(share[hit])
-    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "est": np.concatenate(est)})
+    a, b, est = np.concatenate(a), np.concatenate(b), np.concatenate(est)
+    linked = est >= SURE[1]
+    if not linked.all():
+        linked[~linked] = _shared(a[~linked], b[~linked], rows.column("text")) >= threshold
+    a, b = rep[a[linked]], rep[b[linked]]
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def _rest(buckets: DataFrame, sigs: DataFrame, comp: DataFrame, small: int, block: int) -> DataFrame:
-    """Every pair of a large bucket between components, scored: (a, b, est).
+def _rest(buckets: DataFrame, sigs: DataFrame, texts: DataFrame, comp: DataFrame, threshold: float, small: int, block: int) -> DataFrame:
+    """The links (a, b) of all large buckets between components.
 
     Each row apart from the bucket's largest component meets all rows of the others.
-    Both sides are dealt in blocks, so that no task holds a whole bucket.
+    Both sides are dealt in blocks, by rows and by bytes, so that no task holds a whole
+    bucket; pairs are compared inside their block, and only links leave it.
     """
-    named = _named(buckets.drop("comp"), comp, "rep").withColumnRenamed("comp_rep", "comp")
-    parts = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    sizes = texts.select("rep", F.octet_length("text").cast("long").alias("bytes"))
+    named = _named(buckets.drop("comp").join(sizes, "rep"), comp, "rep").withColumnRenamed("comp_rep", "comp")
+    parts = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / block, size / BLOCK_BYTES))
+    total, main = F.col("n"), F.col("main.n")
     mixed = staged(
-        parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("main")).filter((F.col("n") > small) & (F.col("n") > F.col("main.n")))
-        .select("key", F.col("main.comp").alias("main"), F.ceil(F.col("n") / block).alias("all"), F.ceil((F.col("n") - F.col("main.n")) / block).alias("few")),
+        parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "comp", "bytes")).alias("main")).filter((total > small) & (total > main))
+        .select("key", F.col("main.comp").alias("main"), blocks(total, F.col("bytes")).alias("all"), blocks(total - main, F.col("bytes") - F.col("main.bytes")).alias("few")),
         "mixed",
     )
-    rows = named.join(mixed, "key").withColumn("apart", F.col("comp") != F.col("main")).join(sigs.select("rep", "sig"), "rep")
+    rows = named.join(mixed, "key").withColumn("apart", F.col("comp") != F.col("main"))
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    kept = ("key", "rep", "comp", "apart", "sig")
+    kept = ("key", "rep", "comp", "apart")
     left = rows.filter("apart").select(*kept, F.lit(True).alias("left"), own("few").alias("i"), each("all").alias("j"))
     right = rows.select(*kept, F.lit(False).alias("left"), each("few").alias("i"), own("all").alias("j"))
-    met = left.unionByName(right).groupBy("key", "i", "j").applyInArrow(_block, "a bigint, b bigint, est double")
-    out = staged(met.distinct(), "rest")
-    discard(mixed)
+    dealt = staged(left.unionByName(right), "dealt")
+    full = dealt.join(sigs.select("rep", "sig", "bands").join(texts, "rep"), "rep")
+    out = staged(full.groupBy("key", "i", "j").applyInArrow(lambda rows: _block(rows, threshold), "a bigint, b bigint"), "rest")
+    discard(mixed, dealt)
     return out
 
 
@@ -333,13 +371,11 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMA
         if more.limit(1).count():
             comp = _joined(comp, more)
             edges = staged(edges.unionByName(more).distinct(), "links")
-    rest = _rest(first_buckets, one, comp, small, BLOCK)
-    more = _verified(rest, texts, threshold)
+    more = _rest(first_buckets, one, texts, comp, threshold, small, BLOCK)
     if more.limit(1).count():
         comp = _joined(comp, more)
         edges = staged(edges.unionByName(more).distinct(), "links")
-    discard(rest)
-    discard(texts, one, first_buckets, scored)
+    discard(more, texts, one, first_buckets, scored)
     links = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     member = (
         sigs.select("doc_id", "full").join(reps, "full", "left")
