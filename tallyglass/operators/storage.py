@@ -21,7 +21,8 @@ def admit(samples: DataFrame, max_series: int = 10_000) -> DataFrame:
 
     The cap comes first. Series are ranked by their first arrival over one row per
     series and epoch: within SHARDS parts first, so that the ranking of an epoch reads
-    `max_series` rows of each part at most. `max_series` 0: no cap.
+    `max_series` rows of each part at most. `max_series` 0: no cap. Samples of one
+    arrival come by time, then by value.
     """
     rows = keyed(samples)
     if max_series > 0:
@@ -33,7 +34,7 @@ def admit(samples: DataFrame, max_series: int = 10_000) -> DataFrame:
         rows = rows.join(known, ["epoch", "series_key"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
     else:
         rows = rows.withColumn("known", F.lit(True))
-    before = Window.partitionBy("epoch", "series_key").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("epoch", "series_key").orderBy("arrival", "t", "v").rowsBetween(Window.unboundedPreceding, -1)
     newest = F.max("t").over(before)
     late = newest.isNotNull() & (F.col("t") <= newest)
     status = F.when(~F.col("known"), "series_rejected").when(late, "ood_dropped").otherwise("kept")

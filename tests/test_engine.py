@@ -213,3 +213,10 @@ def test_equal_sums_of_a_counter_are_no_fall(spark, tmp_path):
         assert values(Engine(c).instant(f"{function}(events_total[4s])", 1_704_153_603_999)) == {('{event_type="view",u="7"}', 1_704_153_603_999): 0}
     odd = tables.counter(spark, _events(spark, tmp_path / "odd", [(0, 1, 2e9), (1, 2, 0.5), (2, 3, float("inf"))]))
     assert [r.v for r in odd.orderBy("t").collect()] == [2e9, 2e9 + 0.5, float("inf")]
+
+
+def test_samples_of_one_arrival_come_by_time(spark):
+    rows = [("g", {}, t, float(v), 0, a) for t, v, a in [(9, 1, 1), (5, 2, 1), (5, 3, 1), (7, 4, 1), (8, 5, 2)]]
+    for same in (rows, rows[::-1]):
+        got = storage.admit(spark.createDataFrame(same, SCHEMA)).collect()
+        assert sorted((r.t, r.v, r.status) for r in got) == [(5, 2, "kept"), (5, 3, "ood_dropped"), (7, 4, "kept"), (8, 5, "ood_dropped"), (9, 1, "kept")]
