@@ -144,10 +144,11 @@ def signatures(docs: DataFrame, k: int = COORDINATES, band: int = BAND, shingle:
     return map_texts(docs, lambda: work, "full binary, sig binary, bands array<bigint>")
 
 
-def _pairs(buckets: DataFrame, small: int) -> DataFrame:
-    """Candidate pairs a < b from (key, rep, comp), only between components.
+def _pairs(buckets: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs a < b from (key, rep, comp), only between components, and the stored rows of mixed buckets.
 
-    All pairs of a small bucket; in a large one each row with its first.
+    All pairs of a small bucket; in a large one each row with its first. The rows know
+    the size `n` and the first row of their bucket.
     """
     lead = F.struct("rep", "comp")
     count = staged(
@@ -157,12 +158,14 @@ def _pairs(buckets: DataFrame, small: int) -> DataFrame:
         ).filter("n > 1 and lo <> hi").drop("lo", "hi"),
         "buckets",
     )
-    few = buckets.join(count.filter(F.col("n") <= small).select("key"), "key").groupBy("key").agg(F.array_sort(F.collect_list(lead)).alias("all"))
+    known = staged(buckets.join(count, "key"), "known")
+    discard(count)
+    few = known.filter(F.col("n") <= small).groupBy("key").agg(F.array_sort(F.collect_list(lead)).alias("all"))
     inner = F.flatten(F.transform("all", lambda x, i: F.transform(F.filter(F.slice("all", i + 2, small), lambda y: y["comp"] != x["comp"]), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b")))))
     close = few.select(F.explode(inner).alias("p")).select("p.a", "p.b")
-    many = buckets.join(count.filter(F.col("n") > small).drop("n"), "key").filter(F.col("lead.comp") != F.col("comp"))
+    many = known.filter((F.col("n") > small) & (F.col("lead.comp") != F.col("comp")))
     star = many.select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"))
-    return close.unionByName(star).distinct()
+    return close.unionByName(star).distinct(), known
 
 
 def _named(rows: DataFrame, comp: DataFrame, column: str) -> DataFrame:
@@ -179,11 +182,11 @@ def _finer(buckets: DataFrame, sigs: DataFrame, comp: DataFrame, small: int, dep
     """
     named = _named(buckets.drop("comp"), comp, "rep").withColumnRenamed("comp_rep", "comp")
     mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter((F.col("n") > small) & (F.col("lo") != F.col("hi")))
-    rows = named.join(mixed.select("key"), "key").join(sigs.select("rep", "sig"), "rep")
+    rows = named.join(mixed.select("key", "lo"), "key").join(sigs.select("rep", "sig"), "rep")
     groups = COORDINATES // 3
     first = lambda t: F.pmod(F.xxhash64("key", F.lit(depth * SPLITS + t)), F.lit(groups)) * 6 + 1
     keys = F.array(*[F.xxhash64("key", F.lit(t), F.substring("sig", first(t).cast("int"), F.lit(6))) for t in range(SPLITS)])
-    rows = staged(rows.join(mixed.select("key", "lo"), "key").select("rep", "comp", (F.col("comp") == F.col("lo")).alias("main"), keys.alias("keys")), "mixed")
+    rows = staged(rows.select("rep", "comp", (F.col("comp") == F.col("lo")).alias("main"), keys.alias("keys")), "mixed")
     # Rows of a bucket's main component matter only where a row of another one meets them.
     apart = rows.filter("not main").select("rep", "comp", F.explode("keys").alias("key"))
     wanted = staged(apart.select("key").distinct(), "wanted")
@@ -354,11 +357,13 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMA
     )
     buckets = staged(one.select("rep", F.col("rep").alias("comp"), F.explode("bands").alias("key")), "bands")
     first_buckets = buckets
-    scored = _scored(_pairs(buckets, small), one)
+    pairs, known = _pairs(buckets, small)
+    scored = _scored(pairs, one)
     # The texts that this and the finer rounds may compare: read once.
-    large = buckets.join(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > small).select("key"), "key").select("rep")
+    large = known.filter(F.col("n") > small).select("rep")
     asked = scored.filter(F.col("est") < SURE[1]).select(F.explode(F.array("a", "b")).alias("rep")).unionByName(large).distinct()
     texts = staged(docs.select(F.col("doc_id").alias("rep"), "text").join(asked, "rep", "left_semi").dropDuplicates(["rep"]), "texts")
+    discard(known)
     release(spark)
     edges = _verified(scored, texts, threshold)
     comp = components(edges)
@@ -366,7 +371,9 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMA
         finer = _finer(buckets, one, comp, small, depth)
         if not finer.limit(1).count():
             break
-        more = _verified(_scored(_pairs(finer, small), one), texts, threshold)
+        pairs, met = _pairs(finer, small)
+        more = _verified(_scored(pairs, one), texts, threshold)
+        discard(met)
         buckets = finer
         if more.limit(1).count():
             comp = _joined(comp, more)
