@@ -12,7 +12,8 @@ from tallyglass.llm.decontaminate import decontaminate, proximity_matches
 from tallyglass.llm.exact_dedup import exact_groups
 from tallyglass.llm.language_id import identify
 from tallyglass.llm.mixing import capped_shares, mix
-from tallyglass.llm.near_dedup import _pairs, near_classes
+from tallyglass.llm import near_dedup
+from tallyglass.llm.near_dedup import near_classes
 from tallyglass.llm.secrets import guess_cost, scan, scan_secrets
 from tallyglass.llm.suffix_dedup import cut_repeats
 from tallyglass.llm.token_counts import BLANK, Counter as Tokens, count_tokens
@@ -79,12 +80,15 @@ def test_large_group_of_near_copies(spark):
     assert {r.class_id for r in near_classes(docs(spark, texts)).collect()} == {0}
 
 
-def test_rows_of_mixed_buckets_are_joined_once(spark):
-    rows = [(1, r, r % 2) for r in range(5)] + [(2, 7, 7), (2, 8, 8), (3, 9, 9), (3, 10, 9)]
-    pairs, known = _pairs(spark.createDataFrame(rows, "key bigint, rep bigint, comp bigint"), 2)
-    assert sorted((r.key, r.rep, r.n) for r in known.collect()) == [*((1, r, 5) for r in range(5)), (2, 7, 2), (2, 8, 2)]
-    assert sorted((r.a, r.b) for r in pairs.collect()) == [(0, 1), (0, 3), (7, 8)]
-    assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+def test_rows_of_mixed_buckets_are_joined_with_them_once(spark, monkeypatch):
+    buckets = spark.createDataFrame([(1, r, r) for r in range(4)] + [(2, 7, 7)], "key bigint, rep bigint, comp bigint")
+    sigs = spark.createDataFrame([(r, bytes(256)) for r in range(8)], "rep bigint, sig binary")
+    comp = spark.createDataFrame([(0, 0), (1, 0)], "node bigint, comp bigint")
+    plans, staged = {}, near_dedup.staged
+    monkeypatch.setattr(near_dedup, "staged", lambda df, tag: plans.setdefault(tag, df._jdf.queryExecution().optimizedPlan().toString()) and staged(df, tag))
+    finer = near_dedup._finer(buckets, sigs, comp, 2, 0)
+    assert sorted((r.rep, r.comp) for r in finer.collect()) == [(r, c) for r, c in enumerate((0, 0, 2, 3)) for _ in range(2)]
+    assert plans["mixed"].count("Join Inner, (key#") == 1
 
 
 def test_pairs_of_a_template_family(spark):
