@@ -164,6 +164,31 @@ def test_fuzzy_passages_are_found(spark):
     assert all(got[i] == i for i in got if i >= 1000 or i % 2 == 0)
 
 
+def test_passages_of_frequent_seeds(spark):
+    # 500 and 501 share 60 words but one; each 20 of them, and so each seed and each two near seeds, stand in 14 texts more.
+    draw = random.Random(21)
+    shared = invented(draw, 60).split()
+    pair = [shared[:30] + [w] + shared[31:] for w in ("one", "other")]
+    rows = [(500 + k, f"{invented(draw, 80)} {' '.join(w)} {invented(draw, 80)}") for k, w in enumerate(pair)]
+    rows += [(14 * i + k, f"{invented(draw, 80)} {' '.join(shared[10 * i : 10 * i + 20])} {invented(draw, 80)}") for i in range(5) for k in range(14)]
+    # A family of 30 texts, each with its own words at every 12th place: all pairs are links.
+    base = invented(draw, 96).split()
+    rows += [(1000 + k, f"{invented(draw, 60)} {' '.join(invented(draw, 1) if i % 12 == 5 else w for i, w in enumerate(base))} {invented(draw, 60)}") for k in range(30)]
+    got = {r.doc_id: r for r in repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[501].class_id == 500 and got[500].n_links == got[501].n_links == 1 and 55 <= got[500].n_words <= 66
+    assert all(got[i].class_id == i and got[i].n_links == 0 for i in got if i < 500)
+    assert all(got[1000 + k].class_id == 1000 and got[1000 + k].n_links == 29 for k in range(30))
+
+
+def test_passages_beside_bad_gaps(spark):
+    # 55 words in common, then 50 others, then 16 in common: the chain over both agrees too little, its first part wholly.
+    draw, rows = random.Random(22), []
+    one, two = invented(draw, 55), invented(draw, 16)
+    rows = [(k, f"{invented(draw, 70)} {one} {invented(draw, 50)} {two} {invented(draw, 70)}") for k in (7, 8)]
+    got = {r.doc_id: r for r in repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[8].class_id == 7 and got[8].n_links == 1 and 50 <= got[8].n_words <= 60
+
+
 def test_chains_are_brute_force():
     draw = np.random.default_rng(5)
     for _ in range(60):
