@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from tallyglass.llm.chain_dedup import chains, common_words, repeated_passages, runs
+from tallyglass.llm.chain_dedup import _selected as seeds_of
 from tallyglass.llm.decontaminate import decontaminate, proximity_matches
 from tallyglass.llm.exact_dedup import exact_groups
 from tallyglass.llm.language_id import identify
@@ -189,6 +190,35 @@ def test_passages_beside_bad_gaps(spark):
     assert got[8].class_id == 7 and got[8].n_links == 1 and 50 <= got[8].n_words <= 60
 
 
+def test_seeds_whatever_stands_beside(spark):
+    # Places are looked up again in other batches: a text has the same seeds there.
+    draw = random.Random(23)
+    texts = [invented(draw, n) for n in (200, 40, 12, 90, 3)]
+    own, pos, seed, *_ = seeds_of(texts)
+    for i, text in enumerate(texts):
+        _, alone, same, *_ = seeds_of([text])
+        assert pos[own == i].tolist() == alone.tolist() and seed[own == i].tolist() == same.tolist()
+
+
+def test_families_of_near_copies_shuffle_little(spark):
+    # 30 texts with every 15th word their own: 435 links, of 26 gaps each.
+    draw = random.Random(24)
+    base = invented(draw, 400).split()
+    rows = [(k, " ".join(invented(draw, 1) if i % 15 == 5 else w for i, w in enumerate(base))) for k in range(30)]
+    sc = spark.sparkContext
+    store = sc._jsc.sc().statusStore()
+
+    def written():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    known = written()
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert all(r.class_id == 0 and r.n_links == 29 for r in got)
+    assert sum(n for stage, n in written().items() if stage not in known) < 22 * sum(len(t) for _, t in rows)
+
+
 def test_chains_are_brute_force():
     draw = np.random.default_rng(5)
     for _ in range(60):
